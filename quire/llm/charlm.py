@@ -92,8 +92,14 @@ class CharModel:
 
 
 def sample_texts(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
-    """At most `rows` non-empty texts, those with the smallest hashes of their key."""
-    s = (
-        df.where(F.length(text) > 0).select(F.xxhash64(key).alias("h"), F.col(text).alias("t")).orderBy("h", "t").limit(rows)
-    )
-    return [r.t for r in s.collect()]
+    """At most `rows` non-empty texts, those with the smallest hashes of their key.
+
+    A threshold on the hash, from a count of the rows, leaves about twice as many to be ordered,
+    so the driver receives a bounded number at any size.
+    """
+    n = df.select(key).count()
+    h = F.xxhash64(key)
+    share = min(1.0, 2.0 * rows / max(n, 1))
+    limit = int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1
+    s = df.where(h <= F.lit(limit)).select(h.alias("h"), F.col(text).alias("t")).where(F.length("t") > 0)
+    return [r.t for r in s.orderBy("h", "t").limit(rows).collect()]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import encoding
+from quire.llm import encoding, sitelines
 from quire.session import table
 
 
@@ -27,5 +27,16 @@ def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoding.repair(rows, model).select("fetch_id", "restored", F.concat_ws(" ", "pairs").alias("pairs")).distinct()
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored}
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(extract_id, line_no) of lines repeated across a site. An extract's url is its article's source_url."""
+    return sitelines.repeated_lines(table(spark, sf_dir, "extracts"))
+
+
+def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(extract_id, cleaned): every extract's Markdown without the repeated lines."""
+    ex = table(spark, sf_dir, "extracts").select("extract_id", "markdown").distinct()
+    return sitelines.remove_lines(ex, p5_found(spark, sf_dir)).select("extract_id", "cleaned")
+
+
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned}
 ORACLE: dict[str, str] = {}
