@@ -52,7 +52,7 @@ def own_titles(title: str | None, site: str | None) -> list[str]:
     out, name = [title], letters(site or "")
     for m in _SEPARATORS.finditer(title):
         tail = letters(title[m.end() :])
-        if tail and name and (tail in name or name in tail):
+        if tail == name or len(tail) > 4 and tail in name:
             out.append(title[: m.start()])
     found = {x for x in map(letters, out) if x}
     return sorted(found, key=len)
