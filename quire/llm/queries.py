@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import encoding, sitelines
+from quire.llm import encoding, sitelines, spampages
 from quire.session import table
 
 
@@ -38,5 +38,17 @@ def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.remove_lines(ex, p5_found(spark, sf_dir)).select("extract_id", "cleaned")
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id) of the documents that are keyword-stuffed or link lists."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spampages.page_shares(docs, spampages.fit(docs)).where("spam").select("doc_id").distinct()
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares of prose, link lists, tag lists and menus in every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spampages.page_shares(docs, spampages.fit(docs)).drop("text")
+
+
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p9_found": p9_found, "p9_shares": p9_shares}
 ORACLE: dict[str, str] = {}
