@@ -25,6 +25,7 @@ def get_session(app: str = "quire", master: str = "local[8]", **conf: str) -> Sp
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.shuffle.partitions": "8",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     }
