@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import encoding, sitelines, spampages
+from quire.llm import boilerplate, encoding, sitelines, spampages
 from quire.session import table
 
 
@@ -38,6 +38,38 @@ def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.remove_lines(ex, p5_found(spark, sf_dir)).select("extract_id", "cleaned")
 
 
+SMALL_SITE = 8
+
+
+def _small_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(key, url, text) of the extracts of sites with fewer than SMALL_SITE articles."""
+    art = table(spark, sf_dir, "articles").select(sitelines.site_of(F.col("source_url")).alias("site"), "article_no")
+    few = art.where("site IS NOT NULL").distinct().groupBy("site").agg(F.count("*").alias("n")).where(F.col("n") < SMALL_SITE).select("site")
+    ex = table(spark, sf_dir, "extracts").select(F.col("extract_id").alias("key"), "url", F.col("markdown").alias("text"))
+    return ex.withColumn("site", sitelines.site_of(F.col("url"))).join(few, "site", "left_semi").drop("site")
+
+
+def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(extract_id, line_no, content, on_page): every non-blank line of small sites' extracts with P(content)."""
+    pages = table(spark, sf_dir, "fetches").where("ok").select("url", F.col("text").alias("html"), F.col("fetched_at").alias("at"))
+    ex = _small_extracts(spark, sf_dir)
+    chars = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
+    all_ex = table(spark, sf_dir, "extracts").select("url", F.col("markdown").alias("text"))
+    model = boilerplate.fit(pages.select("url", "html"), all_ex, chars)
+    return boilerplate.label_lines(ex, pages, model).withColumnRenamed("key", "extract_id")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(extract_id, line_no) of the lines of small sites' extracts that are page furniture."""
+    return p6_lines(spark, sf_dir).where("content < 0.5").select("extract_id", "line_no").distinct()
+
+
+def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(extract_id, cleaned): small sites' extracts with only the article's own lines."""
+    ex = _small_extracts(spark, sf_dir).select(F.col("key").alias("extract_id"), F.col("text").alias("markdown")).distinct()
+    return sitelines.remove_lines(ex, p6_found(spark, sf_dir)).select("extract_id", "cleaned")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id) of the documents that are keyword-stuffed or link lists."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -50,5 +82,5 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spampages.page_shares(docs, spampages.fit(docs)).drop("text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned, "p9_found": p9_found, "p9_shares": p9_shares}
 ORACLE: dict[str, str] = {}
