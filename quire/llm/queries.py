@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import boilerplate, encoding, sitelines, spampages
+from quire.llm import boilerplate, encoding, lookalike, sitelines, spampages, splitting
 from quire.session import table
 
 
@@ -14,6 +14,29 @@ def _clean_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "extracts").select("extract_id", F.concat_ws("\n", "title", "markdown").alias("t"))
 
 
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, piece_no, n_pieces, start, text, chars) of every chunk under its profile's limits."""
+    return splitting.split_chunks(table(spark, sf_dir, "chunks"), table(spark, sf_dir, "chunk_profiles"))
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id) of the chunks that had to be split."""
+    return p1_pieces(spark, sf_dir).where("n_pieces > 1 AND piece_no = 1").select("id").distinct()
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, site, key, text, form) of article titles (site '') and category names."""
+    a = table(spark, sf_dir, "articles").selectExpr("'articles.title' AS field", "'' AS site", "article_no AS key", "title AS text")
+    c = table(spark, sf_dir, "categories").selectExpr("'categories.name' AS field", "site", "CAST(id AS BIGINT) AS key", "name AS text")
+    rows = a.unionByName(c)
+    return lookalike.add_form(rows, lookalike.fit(rows, "text", "text"), "text", "form")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, key_a, key_b): titles, or names within a site, that differ but look the same."""
+    return lookalike.equal_looking(p3_forms(spark, sf_dir), ["field", "site"]).select("field", "key_a", "key_b")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fetch_id) of the fetches whose text is garbled by a wrong encoding."""
     model = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
@@ -82,5 +105,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spampages.page_shares(docs, spampages.fit(docs)).drop("text")
 
 
-QUERIES = {"p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned, "p9_found": p9_found, "p9_shares": p9_shares}
-ORACLE: dict[str, str] = {}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned, "p9_found": p9_found, "p9_shares": p9_shares}
+ORACLE: dict[str, str] = {
+    "p1_found": "SELECT DISTINCT id FROM chunks JOIN chunk_profiles USING (profile) WHERE length(text) > max_chars",
+}
