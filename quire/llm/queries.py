@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import boilerplate, encoding, lookalike, sitelines, spampages, splitting
-from quire.session import table
+from quire.llm import boilerplate, encoding, lookalike, mixing, packing, sitelines, spampages, splitting
+from quire.llm.tokens import VOCABULARY, n_tokens
+from quire.session import table, written
 
 
 def _clean_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +94,32 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sitelines.remove_lines(ex, p6_found(spark, sf_dir)).select("extract_id", "cleaned")
 
 
+def _sizes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """(doc_id, more..., tokens), tokens counted once and written."""
+    docs = table(spark, sf_dir, "documents")
+    return written(docs.select("doc_id", *more, n_tokens(F.col("text"), VOCABULARY).alias("tokens")).distinct(), "sizes")
+
+
+def p7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(profile, container, doc_id, piece_no, start, size): every document in every profile's containers."""
+    return packing.pack(_sizes(spark, sf_dir), table(spark, sf_dir, "pack_profiles"), "doc_id", "tokens")
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(profile, containers, used, unused_share)."""
+    return packing.report(p7_pack(spark, sf_dir), table(spark, sf_dir, "pack_profiles"))
+
+
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, source, tokens, copies): the mixture at the targets' shares, as large as the repeats allow."""
+    return mixing.mix(_sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, target_share, available, used, actual_share, times)."""
+    return mixing.mix(_sizes(spark, sf_dir, "source"), table(spark, sf_dir, "mix_targets"))[1]
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id) of the documents that are keyword-stuffed or link lists."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -105,7 +132,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spampages.page_shares(docs, spampages.fit(docs)).drop("text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 ORACLE: dict[str, str] = {
     "p1_found": "SELECT DISTINCT id FROM chunks JOIN chunk_profiles USING (profile) WHERE length(text) > max_chars",
 }
