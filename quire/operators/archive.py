@@ -1,0 +1,170 @@
+"""The archive on disk: tables, content files, plans, reports and stages in one folder.
+
+Tables are Parquet versions under <root>/tables/<name>/<version>; the newest complete one counts, so
+a replaced table is written whole before it takes over. Content files are written by the executors
+into the archive's folder, which all of them must reach.
+"""
+
+from __future__ import annotations
+
+import json
+import os
+import time
+import uuid
+from collections.abc import Iterator
+from pathlib import Path
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from quire.book import frontmatter
+
+ARTICLE = T.StructType([
+    T.StructField("idx", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("file", T.StringType()),
+    T.StructField("source_url", T.StringType()), T.StructField("author", T.StringType()), T.StructField("published_at", T.StringType()), T.StructField("summary", T.StringType()),
+    T.StructField("tags", T.ArrayType(T.StringType())), T.StructField("assets", T.ArrayType(T.StringType())), T.StructField("word_count", T.IntegerType()),
+    T.StructField("translated", T.BooleanType()), T.StructField("translation_file", T.StringType()), T.StructField("fetch_status", T.StringType()), T.StructField("notes", T.StringType()),
+    T.StructField("grp", T.StringType()), T.StructField("subgroup", T.StringType()),
+])
+# Keys of the book's metadata.
+BOOK_KEYS = ["title", "subtitle", "author", "language", "source_language", "publisher", "description", "rights", "series", "subject", "identifier", "date", "cover"]
+
+
+class Archive:
+    """One archive folder."""
+
+    def __init__(self, root: str, book: dict | None = None):
+        self.root = Path(root)
+        self.root.mkdir(parents=True, exist_ok=True)
+        if book is not None:
+            self.set_book(**book)
+
+    # -- tables
+
+    def table(self, spark: SparkSession, name: str, schema: T.StructType | None = None) -> DataFrame:
+        """The newest version of a table; an empty one of `schema` if there is none."""
+        done = sorted(p.parent for p in (self.root / "tables" / name).glob("*/_SUCCESS"))
+        if done:
+            return spark.read.parquet(str(done[-1]))
+        return spark.createDataFrame([], schema or ARTICLE)
+
+    def replace(self, name: str, df: DataFrame, keep: int = 2) -> None:
+        """Write a table's next version, then forget all but the last `keep`."""
+        base = self.root / "tables" / name
+        df.write.parquet(str(base / f"{time.time_ns():020d}-{uuid.uuid4().hex[:6]}"))
+        import shutil
+
+        for old in sorted(p.parent for p in base.glob("*/_SUCCESS"))[:-keep]:
+            shutil.rmtree(old, ignore_errors=True)
+
+    def upsert_articles(self, spark: SparkSession, new: DataFrame) -> None:
+        from quire.operators.articles import upsert
+
+        self.replace("articles", upsert(self.table(spark, "articles"), new))
+
+    def clone_to(self, spark: SparkSession, dest: str) -> Archive:
+        """A copy of tables and metadata, with a note of where it comes from."""
+        new = Archive(dest)
+        for p in (self.root / "tables").glob("*"):
+            new.replace(p.name, self.table(spark, p.name))
+        new._write("metadata/book.json", self.book | {"source_archive": str(self.root)})
+        return new
+
+    # -- metadata
+
+    @property
+    def book(self) -> dict:
+        return self._read("metadata/book.json", {})
+
+    def set_book(self, **values: object) -> None:
+        """Merge known keys with a value into the book's metadata."""
+        self._write("metadata/book.json", self.book | {k: v for k, v in values.items() if k in BOOK_KEYS and v not in (None, "")})
+
+    def record_stage(self, stage: str, payload: dict) -> None:
+        self._write("metadata/stages.json", [*self._read("metadata/stages.json", []), {"stage": stage, "at": time.strftime("%Y-%m-%dT%H:%M:%S"), **payload}])
+
+    def write_report(self, name: str, report: DataFrame) -> str:
+        """A one-row table as a JSON file."""
+        row = report.first()
+        path = f"reports/{name.removesuffix('.json')}.json"
+        self._write(path, json.loads(json.dumps(row.asDict(recursive=True), default=str)) if row else {})
+        return str(self.root / path)
+
+    def write_plan(self, plan: DataFrame) -> None:
+        """The plan as a table and as nested JSON lines, one a part."""
+        from quire.plans.grouping import nested
+
+        self.replace("plan", plan)
+        nested(plan).orderBy("part_no").drop("part_no").coalesce(1).write.mode("overwrite").json(str(self.root / "metadata" / "groups"))
+
+    def read_plan(self, spark: SparkSession) -> DataFrame | None:
+        """The plan, or None if there is none or it can't be read."""
+        try:
+            t = self.table(spark, "plan", T.StructType([]))
+            return t if t.columns else None
+        except Exception:  # noqa: BLE001  a damaged plan is no plan
+            return None
+
+    def write_urls(self, plan: DataFrame) -> None:
+        """The plan's addresses in order, one a line."""
+        plan.orderBy("part_no", "section_no", "pos").select("url").coalesce(1).write.mode("overwrite").text(str(self.root / "metadata" / "urls"))
+
+    # -- content
+
+    def write_content(self, articles: DataFrame, markdown: str = "markdown") -> None:
+        """One file an article, its frontmatter and text, at the path in `file`; written beside and moved, so none is ever half."""
+        root, book = str(self.root), self.book
+        cols = [c for c in articles.columns if c != markdown]
+        rows = articles.select("file", frontmatter.of_articles(F.struct(*cols), book).alias("head"), F.coalesce(markdown, F.lit("")).alias("body"))
+
+        def save(part: Iterator) -> None:
+            for r in part:
+                path = os.path.join(root, r.file)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                tmp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+                with open(tmp, "w", encoding="utf-8") as f:
+                    f.write(f"{r.head}\n{r.body.strip()}\n")
+                os.replace(tmp, path)
+
+        rows.foreachPartition(save)
+
+    def content_files(self, spark: SparkSession) -> DataFrame:
+        """(file, body) of the content files."""
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(str(self.root / "content")) if (self.root / "content").is_dir() else None
+        if found is None:
+            return spark.createDataFrame([], "file string, body string")
+        base = f"file:{self.root.resolve()}/"
+        return found.select(F.replace(F.col("path"), F.lit(base), F.lit("")).alias("file"), F.decode("content", "UTF-8").alias("body"))
+
+    def remove_orphans(self, spark: SparkSession) -> int:
+        """Delete content files that no article names; how many."""
+        from quire.operators.articles import orphan_files
+
+        n = 0
+        for r in orphan_files(self.content_files(spark).select("file"), self.table(spark, "articles")).toLocalIterator():
+            (self.root / r.file).unlink(missing_ok=True)
+            n += 1
+        return n
+
+    def read_content(self, spark: SparkSession) -> DataFrame:
+        """Articles with `body`: the translation's where it exists, else the original's, else ''."""
+        files = self.content_files(spark)
+        a = self.table(spark, "articles")
+        t, o = files.select(F.col("file").alias("translation_file"), F.col("body").alias("_t")), files.select("file", F.col("body").alias("_o"))
+        return a.join(t, "translation_file", "left").join(o, "file", "left").withColumn("body", F.coalesce("_t", "_o", F.lit(""))).drop("_t", "_o")
+
+    # -- small files
+
+    def _read(self, name: str, default):
+        try:
+            return json.loads((self.root / name).read_text("utf-8"))
+        except (OSError, ValueError):
+            return default
+
+    def _write(self, name: str, data: object) -> None:
+        path = self.root / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        tmp = path.with_suffix(".tmp")
+        tmp.write_text(json.dumps(data, ensure_ascii=False, indent=2), "utf-8")
+        os.replace(tmp, path)
