@@ -44,14 +44,14 @@ def _tail(t: Column) -> Column:
     return F.when((F.length(t) >= 4) & F.length(tail).between(2, LONGEST_TAIL), tail)
 
 
-def common_tail(titles: DataFrame, title: str = "title", by: list[str] = (), seq: str = "seq") -> DataFrame:
-    """(by..., tail, n): the tail most frequent in each group, the first seen among equals, if it is shared by MIN_COUNT titles and MIN_SHARE of all."""
+def common_tail(titles: DataFrame, title: str = "title", by: list[str] = (), seq: str = "seq", min_share: float = MIN_SHARE, min_count: int = MIN_COUNT) -> DataFrame:
+    """(by..., tail, n): the tail most frequent in each group, the first seen among equals, if enough titles and a large enough share of all have it."""
     t = titles.select(*by, F.col(seq).alias("seq"), strip(or_empty(F.col(title))).alias("t"))
     total = t.groupBy(*by).agg(F.count("*").alias("total"))
     tails = t.withColumn("tail", _tail(F.col("t"))).where("tail IS NOT NULL").groupBy(*by, "tail").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
     best = tails.groupBy(*by).agg(F.max_by(F.struct("tail", "n"), F.struct("n", -F.col("first"))).alias("v")).select(*by, "v.tail", "v.n")
     j = best.join(total, list(by)) if by else best.crossJoin(F.broadcast(total))
-    return j.where((F.col("n") >= MIN_COUNT) & (F.col("n") >= F.col("total") * MIN_SHARE)).select(*by, "tail", "n")
+    return j.where((F.col("n") >= min_count) & (F.col("n") >= F.col("total") * min_share)).select(*by, "tail", "n")
 
 
 def strip_common_tail(titles: DataFrame, title: str = "title", by: list[str] = (), seq: str = "seq", out: str = "clean_title") -> DataFrame:
