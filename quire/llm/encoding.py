@@ -14,7 +14,7 @@ Texts garbled twice are labelled again after their first restoration.
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 
 import pandas as pd
 from pyspark import Broadcast
@@ -41,8 +41,14 @@ RARE_PAIRS = [
 ]
 #: Log-probabilities of entering a pair's state (of a rare pair, of two-byte writings read as single bytes), and of leaving.
 ENTER, RARE, WIDE, LEAVE = -9.0, -18.0, -14.0, -3.0
+#: What a change of state costs between two letters outside ASCII, as encodings seldom change inside a word.
+JOIN = -6.0
+#: The price of entering for a pair that has garbled a text in at least SEVERAL places already, used in restoring.
+AGAIN, SEVERAL = -2.0, 3
 #: Times a text is labelled and restored.
 PASSES = 3
+#: The longest stretch one search covers; it bounds memory on texts without any blank.
+WINDOW = 1000
 #: Encodings tried on bytes that their label doesn't explain.
 READINGS = ["utf-8", "gb18030", "cp1251", "koi8-r", "euc_jp", "shift_jis", "cp1252"]
 _RUN = re.compile(r"[^\x00-\x7f]+(?:[\x21-\x7e]{1,2}[^\x00-\x7f]+)*")
@@ -51,6 +57,16 @@ _HOLES = re.compile("\u00e2\\?[\u20ac\u00a2\u2122\u0153\u02dc\u201c\u201d\u2026\
 _CJK_PUNCT = re.compile(r"(?<=[。！？；])")
 
 
+def windows(run: str, most: int = WINDOW) -> list[str]:
+    """A long stretch in windows of bounded length, cut behind a character that is no letter where there is one."""
+    out = []
+    while len(run) > most:
+        at = next((i for i in range(most, most * 3 // 4, -1) if not run[i - 1].isalpha()), most)
+        out.append(run[:at])
+        run = run[at:]
+    return [*out, run]
+
+
 class Codec:
     """Characters to the bytes a reading came from, and bytes to the characters of a writing."""
 
@@ -126,12 +142,13 @@ class Labeller:
         self.pairs = [(codecs[w], codecs[r], WIDE if cost == ENTER and w in ("gb18030", "euc_jp", "shift_jis") else cost) for ps, cost in ((PAIRS, ENTER), (RARE_PAIRS, RARE)) for w, r in ps]
         self.readers = list({r.name: r for _, r, _ in self.pairs}.values())
         self.cache: OrderedDict = OrderedDict()
+        self.again: frozenset[str] = frozenset()
         han = {c for c, n in model.uni.items() if n >= 2 and ("　" <= c <= "鿿" or "！" <= c <= "｠")}
         self.plain_cjk = re.compile("[" + "".join(re.escape(c) for c in sorted(han)) + "]{2,}") if han else re.compile("(?!)")
 
     def stretch(self, prev: str, run: str, nxt: str) -> tuple[str, tuple[str, ...]] | None:
         """(restored, pairs used) of one stretch, or None where it is clean."""
-        key = (prev, run, nxt)
+        key = (prev, run, nxt, self.again)
         if key in self.cache:
             return self.cache[key]
         out = self._viterbi(prev, run, nxt)
@@ -143,6 +160,7 @@ class Labeller:
 
     def _viterbi(self, prev: str, run: str, nxt: str) -> tuple[str, tuple[str, ...]] | None:
         logp, n = self.model.logp, len(run)
+        letter = [c > "\x7f" and c.isalpha() for c in run]
         # clean[i] = (score, last character, back pointer) before run[i]
         clean: list = [None] * (n + 1)
         clean[0] = (0.0, prev, None)
@@ -157,7 +175,7 @@ class Labeller:
         for w, r, cost in self.pairs:
             b, offs, gaps, at = coded[r.name]
             if len(gaps) < n:
-                live.append((w, r, b, offs, gaps, at, {}, cost))
+                live.append((w, r, b, offs, gaps, at, {}, AGAIN if f"{w.name}>{r.name}" in self.again else cost))
         loss = [None] * (n + 1)
         for i in range(n):
             here = clean[i]
@@ -167,6 +185,7 @@ class Labeller:
                 step = (here[0] - 12.0, " ", ("loss", i))
                 if clean[i + 1] is None or step[0] > clean[i + 1][0]:
                     clean[i + 1] = step
+            inside = i > 0 and letter[i - 1] and letter[i]
             s = here[0] + logp(here[1], c)
             if clean[i + 1] is None or s > clean[i + 1][0]:
                 clean[i + 1] = (s, c, ("clean", i))
@@ -174,7 +193,7 @@ class Labeller:
                 if i in gaps:
                     continue
                 start, stop = offs[i], offs[i + 1]
-                enter = here[0] + cost
+                enter = here[0] + cost + (JOIN if inside else 0.0)
                 old = f.get(start)
                 if old is None or enter > old[0]:
                     f[start] = (enter, here[1], ("in", i))
@@ -195,7 +214,7 @@ class Labeller:
                         f[e] = (t, u, ("step", o))
                     j = at.get(e)
                     if j is not None:
-                        v = t + LEAVE
+                        v = t + LEAVE + (JOIN if j < n and letter[j] and letter[j - 1] else 0.0)
                         if clean[j] is None or v > clean[j][0]:
                             clean[j] = (v, u, ("out", k, e))
         # ways to end: the right context must follow
@@ -244,7 +263,7 @@ class Labeller:
             nxt = text[z] if z < len(text) else " "
             if self.plain_cjk.fullmatch(run) and not (prev.isalpha() and prev.isascii()):
                 continue
-            parts = [run] if len(run) <= 40 else _CJK_PUNCT.split(run)
+            parts = [run] if len(run) <= 40 else [w for p in _CJK_PUNCT.split(run) for w in windows(p)]
             for k, p in enumerate(parts):
                 if not p:
                     continue
@@ -269,7 +288,13 @@ class Labeller:
         """(restored text, pairs used), labelled up to PASSES times."""
         used: list[str] = []
         for _ in range(PASSES):
-            text, u = self.once(text)
+            fixed, u = self.once(text)
+            often = frozenset(p for p, n in Counter(u).items() if n >= SEVERAL and p != "loss")
+            if often:
+                self.again = often
+                fixed, u = self.once(text)
+                self.again = frozenset()
+            text = fixed
             used += u
             if not set(u) - {"loss"}:
                 break

@@ -103,7 +103,7 @@ def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str =
     wanted = {r.s: (r.w, r.m) for r in targets.select(source_name(F.col("source")).alias("s"), F.col("target_share").alias("w"), F.col("max_repeats").alias("m")).where("s IS NOT NULL").limit(MAX_SOURCES + 1).collect()}
     if len(wanted) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = docs.select(F.col(key).alias("key"), source_name(F.col(source)).alias("source"), F.col(tokens).cast("long").alias("tokens")).where(F.col("source").isin(*wanted) if wanted else F.lit(False))
+    sizes = docs.select(F.col(key).alias("key"), source_name(F.col(source)).alias("source"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("tokens")).where(F.col("source").isin(*wanted) if wanted else F.lit(False))
     sizes = written(sizes.distinct().withColumn("h", F.xxhash64("key")), "mix-sizes")
     p = plan(sizes, wanted, total)
     spark = docs.sparkSession

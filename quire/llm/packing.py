@@ -10,7 +10,7 @@ packed by itself: only a group's last container has room for want of items, so t
 with the group size and not with the number of groups. A hot id can't exist, as ids are unique.
 
 Nulls: a NULL text has no tokens; items without tokens go into the first container of their group.
-A profile with a NULL or non-positive capacity packs nothing. Repeated rows count once.
+A profile with a NULL or non-positive capacity packs nothing. Items with a NULL key are left out.
 """
 
 from __future__ import annotations
@@ -96,11 +96,12 @@ def pack(items: DataFrame, profiles: DataFrame, key: str, size: str, capacity: s
     `items` has unique keys and sizes; `start` is the piece's offset in the item. Container numbers
     are unique within a profile.
     """
+    items = items.where(F.col(key).isNotNull())
     n = items.count()
     groups = max(1, round(n / group_items))
     limits = profiles.select(F.col(profile).alias("profile"), F.col(capacity).cast("long").alias("capacity")).where("capacity > 0").distinct()
     rows = (
-        items.select(F.col(key).alias("key"), F.col(size).cast("long").alias("size"), F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).alias("grp"))
+        items.select(F.col(key).alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).alias("grp"))
         .crossJoin(small(limits, 1000))
     )
     kind = rows.schema["key"].dataType.simpleString()

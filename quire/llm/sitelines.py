@@ -10,7 +10,7 @@ Counts are taken over distinct documents, after a map-side distinct, so a hot si
 few numbers each, spread by template id. No line is sampled or capped.
 
 Nulls: a NULL text has no lines, a NULL address has no site and takes no part, NULL titles fill no
-slot. Repeated rows count once. Lines without a letter are never boilerplate.
+slot, rows with a NULL key or document are left out. Repeated rows count once. Lines without a letter are never boilerplate.
 """
 
 from __future__ import annotations
@@ -104,7 +104,7 @@ def parse(df: DataFrame, key: str, doc: str, url: str, title: str, text: str) ->
     """(key, doc, line_no, template) of every line with a letter; one row a template."""
     src = df.select(
         F.col(key).alias("key"), F.col(doc).alias("doc"), site_of(F.col(url)).alias("site"), F.col(url).alias("url"), F.col(title).alias("title"), F.col(text).alias("text")
-    ).where("site IS NOT NULL AND text IS NOT NULL AND doc IS NOT NULL")
+    ).where("site IS NOT NULL AND text IS NOT NULL AND doc IS NOT NULL AND key IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

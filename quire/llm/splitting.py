@@ -10,7 +10,7 @@ from their offsets. Lengths are code points.
 The table covers one stretch of a text at a time, so memory is bounded by the limits, not the text.
 
 Nulls: a NULL text gives one piece with NULL text and 0 characters; an empty text one empty piece.
-A row whose profile has no limits (NULL max_chars) stays whole.
+A row whose profile has no limits (NULL max_chars) stays whole. Rows with a NULL key are left out.
 """
 
 from __future__ import annotations
@@ -164,7 +164,7 @@ def split_texts(df: DataFrame, key: str, text: str, target: str, limit: str, ove
             yield pd.DataFrame(rows, columns=["key", "piece_no", "n_pieces", "start", "text", "chars"])
 
     kind = src.schema["key"].dataType.simpleString()
-    return src.mapInPandas(run, f"key {kind}, piece_no int, n_pieces int, start int, text string, chars int").withColumnRenamed("key", key)
+    return src.where("key IS NOT NULL").mapInPandas(run, f"key {kind}, piece_no int, n_pieces int, start int, text string, chars int").withColumnRenamed("key", key)
 
 
 def split_chunks(chunks: DataFrame, profiles: DataFrame) -> DataFrame:
