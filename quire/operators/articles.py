@@ -101,7 +101,8 @@ def unique_slugs(items: DataFrame, slug: str = "slug", seq: str = "seq", out: st
                 got.append((q, f"{s}-{n}"))
             yield pd.DataFrame(got, columns=["seq", out])
 
-    met = rows.join(numbered, "stem", "left_semi").repartition("stem").sortWithinPartitions("stem", F.col("old").desc(), "seq")
+    # by a hash of the stem: a union of parts hashed by the stem itself would count as spread already
+    met = rows.join(numbered, "stem", "left_semi").repartition(F.xxhash64("stem")).sortWithinPartitions("stem", F.col("old").desc(), "seq")
     kind = rows.schema["seq"].dataType.simpleString()
     names = calm.unionByName(met.mapInPandas(run, f"seq {kind}, {out} string"))
     return items.join(names.withColumnRenamed("seq", "_seq"), F.col(seq) == F.col("_seq")).drop("_seq")
