@@ -47,7 +47,7 @@ class Archive:
         done = sorted(p.parent for p in (self.root / "tables" / name).glob("*/_SUCCESS"))
         if done:
             return spark.read.parquet(str(done[-1]))
-        return spark.createDataFrame([], schema or ARTICLE)
+        return spark.createDataFrame([], ARTICLE if schema is None else schema)
 
     def replace(self, name: str, df: DataFrame, keep: int = 2) -> None:
         """Write a table's next version, then forget all but the last `keep`."""

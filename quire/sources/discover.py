@@ -174,7 +174,7 @@ def rest_pages(get: Callable[[str], str | None], site: str, what: str, fields: s
 
 def rest_rows(answers: DataFrame, kind: str, body: str = "body") -> DataFrame:
     """The rows of JSON answers; unknown keys are dropped, bad answers give none."""
-    return answers.select(F.inline(F.from_json(body, kind)))
+    return answers.where(F.col(body).rlike(r"^\s*\[")).select(F.inline(F.from_json(body, kind)))
 
 
 def detect(probes: DataFrame) -> DataFrame:
