@@ -29,6 +29,22 @@ def parser() -> argparse.ArgumentParser:
     k.add_argument("--cover-style", default="auto", choices=["auto", "editorial", "classic", "minimal", "band"])
     v = sub.add_parser("check", help="check an EPUB file")
     v.add_argument("file")
+    b = sub.add_parser("build", help="fetch addresses into an archive and write its book")
+    b.add_argument("urls", help="file with an address a line")
+    b.add_argument("--archive", required=True)
+    b.add_argument("-o", "--out", required=True)
+    b.add_argument("--by", default="auto", choices=["auto", "date", "path", "flat"])
+    b.add_argument("--title", default="Collected articles")
+    b.add_argument("--author", default="")
+    b.add_argument("--max", type=int, default=0)
+    b.add_argument("--images", action="store_true")
+    b.add_argument("--no-robots", action="store_true")
+    r = sub.add_parser("reorder", help="number an archive's articles anew")
+    r.add_argument("archive")
+    r.add_argument("--order", required=True, choices=["date-asc", "date-desc", "alpha", "reverse"])
+    d = sub.add_parser("info", help="find out what a site is")
+    d.add_argument("url")
+    d.add_argument("--adapters", action="append", default=[])
     sub.add_parser("themes", help="list themes")
     sub.add_parser("queries", help="list registered queries")
     return p
@@ -56,6 +72,16 @@ def main(argv: list[str] | None = None) -> int:
 
         say(sorted(QUERIES))
         return 0
+    if a.command == "info":
+        from dataclasses import asdict
+
+        from quire.sources import adapters, fetch, probe
+
+        registry = adapters.Registry()
+        adapters.load(registry, adapters.search_paths(a.adapters))
+        get = fetch.http_transport()
+        say(asdict(probe.probe(lambda u: (x := get(u)).text if x.status == 200 else None, a.url, registry)))
+        return 0
     from pyspark.sql import functions as F
 
     from quire.operators.articles import latest
@@ -63,6 +89,18 @@ def main(argv: list[str] | None = None) -> int:
     from quire.session import get_session, table
 
     spark = get_session()
+    if a.command in ("build", "reorder"):
+        from quire import build
+        from quire.operators.archive import Archive
+        from quire.sources import discover, fetch
+
+        if a.command == "reorder":
+            for r in build.reorder(spark, Archive(a.archive), a.order).orderBy("idx").toLocalIterator():
+                say(f"{r.idx:4d} {r.published_at or '—'} {r.title}")
+            return 0
+        items = discover.from_urls_file(spark, a.urls)
+        say(build.build(spark, items, fetch.http_transport(), a.archive, a.out, {"title": a.title, "author": a.author}, a.by, limit=a.max or None, images=a.images, robots=not a.no_robots))
+        return 0
     if a.command == "query":
         from quire.queries import QUERIES
 

@@ -10,7 +10,7 @@ from pathlib import Path, PurePosixPath
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.book.typeset import CSS, chapter, counts, esc, page
+from quire.book.typeset import chapter, counts, css, esc, page
 from quire.functions.url import MIME_BY_EXT
 
 #: A book is one file, read by one person; more chapters than this aren't put into one.
@@ -34,7 +34,7 @@ def publish(spine: DataFrame, chapters: DataFrame, path: str, book: dict, theme:
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
         z.writestr("META-INF/container.xml", CONTAINER)
-        z.writestr("OEBPS/Style/main.css", CSS.get(theme, CSS["classic"]))
+        z.writestr("OEBPS/Style/main.css", css(theme))
 
         def add(name: str, title: str, kind: str, text: str) -> None:
             z.writestr(f"OEBPS/Text/{name}", text)

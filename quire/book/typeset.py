@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import html
+import os
 import re
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column
@@ -19,6 +21,15 @@ CSS = {
 }
 
 
+def css(theme: str, folders: list[str] = (), variable: str = "QUIRE_THEMES") -> str:
+    """A theme's style sheet: a file <theme>.css of the folders, or of the variable's, before the built-in ones."""
+    for d in [*folders, *filter(None, os.environ.get(variable, "").split(os.pathsep))]:
+        p = Path(d) / f"{theme}.css"
+        if p.is_file():
+            return p.read_text("utf-8")
+    return CSS.get(theme, CSS["classic"])
+
+
 def esc(s: object) -> str:
     return html.escape(str(s or ""), quote=False)
 

@@ -180,3 +180,17 @@ def flat(groups: DataFrame) -> DataFrame:
     s = groups.select("part_no", T.or_empty(F.col("title")).alias("part_title"), T.or_empty(F.col("slug")).alias("part_slug"), F.posexplode(sections).alias("i", "s"))
     u = s.select("part_no", "part_title", "part_slug", (F.col("i") + 1).cast("long").alias("section_no"), T.or_empty(F.col("s.title")).alias("section_title"), T.or_empty(F.col("s.slug")).alias("section_slug"), F.posexplode("s.urls").alias("j", "url"))
     return u.select(F.col("part_no").cast("long").alias("part_no"), "part_title", "part_slug", "section_no", "section_title", "section_slug", (F.col("j") + 1).cast("long").alias("pos"), "url")
+
+
+def read_json(spark, path: str) -> DataFrame:
+    """The plan of a JSON file: {"groups": [...]} or the bare list; anything else is an error."""
+    import json
+
+    text = spark.read.text(path, wholetext=True).first()
+    data = json.loads(text[0]) if text else None
+    groups = data.get("groups") if isinstance(data, dict) else data
+    if not isinstance(groups, list):
+        raise ValueError(f"no groups in {path}")
+    rows = [(i, g.get("title", ""), g.get("slug", ""), [(s.get("title", ""), s.get("slug", ""), s.get("urls") or []) for s in g.get("subgroups") or []], g.get("urls") or []) for i, g in enumerate(groups, 1)]
+    kind = "part_no long, title string, slug string, subgroups array<struct<title:string,slug:string,urls:array<string>>>, urls array<string>"
+    return flat(spark.createDataFrame(rows, kind))

@@ -185,3 +185,50 @@ def rewrite_images(texts: DataFrame, refs: DataFrame, stored: DataFrame, key: st
     m = refs.join(s, refs.url == F.col("_u"), "left").groupBy(key).agg(F.collect_list(F.struct(F.col("placeholder").alias("p"), to.alias("t"))).alias("_m"))
     done = F.aggregate(F.coalesce("_m", F.array().cast("array<struct<p:string,t:string>>")), F.col(text), lambda acc, x: F.replace(acc, x["p"], x["t"]))
     return texts.join(m, key, "left").withColumn(text, done).drop("_m")
+
+
+def http_transport(agent: str = "quire/1.0", timeout: float = 20.0) -> Transport:
+    """A transport over the standard library."""
+
+    def get(url: str) -> Answer:
+        import urllib.error
+        import urllib.request
+
+        from quire.html.meta import decode
+
+        request = urllib.request.Request(url, headers={"User-Agent": agent})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as r:  # noqa: S310
+                raw, kind = r.read(), r.headers.get("Content-Type", "")
+                name = r.headers.get_content_charset()
+                try:
+                    text = raw.decode(name) if name else decode(raw)
+                except (LookupError, UnicodeDecodeError):
+                    text = decode(raw)
+                return Answer(r.status, "" if kind.startswith("image/") else text, raw, kind)
+        except urllib.error.HTTPError as e:
+            return Answer(e.code, retry_after=e.headers.get("Retry-After", "") if e.headers else "")
+
+    return get
+
+
+def shrink_image(content: bytes, ext: str, max_width: int, quality: int = 80) -> tuple[bytes, str]:
+    """An image no wider than `max_width`, if that makes it smaller; as it is without the imaging library, and for vector or moving ones."""
+    if ext in (".svg", ".avif") or max_width <= 0:
+        return content, ext
+    try:
+        import io
+
+        from PIL import Image
+
+        im = Image.open(io.BytesIO(content))
+        if getattr(im, "n_frames", 1) > 1:
+            return content, ext
+        if im.width > max_width:
+            im = im.resize((max_width, max(1, round(im.height * max_width / im.width))), Image.LANCZOS)
+        clear = im.mode in ("RGBA", "LA") or "transparency" in im.info
+        out = io.BytesIO()
+        im.convert("RGBA" if clear else "RGB").save(out, "PNG" if clear else "JPEG", optimize=True, quality=quality)
+        return (out.getvalue(), ".png" if clear else ".jpg") if out.tell() < len(content) else (content, ext)
+    except Exception:  # noqa: BLE001  what can't be read stays
+        return content, ext

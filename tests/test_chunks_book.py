@@ -135,3 +135,11 @@ def test_archive(spark, tmp_path):
     ar.write_plan(plan)
     ar.write_urls(plan)
     assert ar.read_plan(spark).count() == 1 and ar.clone_to(spark, str(tmp_path / "b")).table(spark, "articles").count() == 3
+
+
+def test_prompt_and_themes(tmp_path, monkeypatch):
+    got = C.prompt("⟦0⟧ text", "fr", {"a": "b"}, "about")
+    assert got[1]["content"] == "⟦0⟧ text" and "a → b" in got[0]["content"] and "into fr" in got[0]["content"]
+    (tmp_path / "mine.css").write_text("p{}")
+    monkeypatch.setenv("QUIRE_THEMES", str(tmp_path))
+    assert typeset.css("mine") == "p{}" and typeset.css("nope") == typeset.CSS["classic"]

@@ -194,3 +194,14 @@ def test_audit_and_orders(spark):
     items = spark.createDataFrame([("u1", 1), ("u2#f", 2), ("u3", 3)], "url string, seq int")
     known = spark.createDataFrame([("u2",)], "source_url string")
     assert {x.url for x in A.todo(items, known).collect()} == {"u1", "u3"} and {x.url for x in A.todo(items, known, 2).collect()} == {"u1"}
+
+
+def test_plan_files(spark, tmp_path):
+    p = tmp_path / "p.json"
+    p.write_text('{"groups": [{"title": "A", "subgroups": [{"title": "s", "urls": ["u1", "u2"]}]}, {"title": "B", "urls": ["u3"]}]}')
+    assert parts(G.read_json(spark, str(p))) == {"A": ["u1", "u2"], "B": ["u3"]}
+    p.write_text('[{"title": "A", "urls": ["u1"]}]')
+    assert parts(G.read_json(spark, str(p))) == {"A": ["u1"]}
+    p.write_text('{"x": 1}')
+    with pytest.raises(ValueError):
+        G.read_json(spark, str(p))

@@ -132,3 +132,25 @@ def test_adapter_join(spark):
     urls = ["http://www.foo.com/p/1", "http://foo.com/", "https://z/", "http://xfoo.com/", None]
     got = {r.url: r.adapter for r in AD.match_urls(spark.createDataFrame([(u,) for u in urls], "url string"), AD.adapter_rows(spark, a)).collect()}
     assert got == {urls[0]: "r", urls[1]: "h", urls[2]: "x", urls[3]: None, None: None}
+
+
+SITE = {"https://a.b/": "<html lang=zh-Hans><title>Name | Home</title><meta name=author content=Jo><link rel=alternate type='application/rss+xml' href='/f.xml'>"}
+API = {"https://a.b/wp-json/": '{"name": "N", "namespaces": ["wp/v2"]}', "https://a.b/wp-json/wp/v2/posts?per_page=1&_fields=id": '[{"id": 1}]'}
+
+
+@pytest.mark.parametrize("more,kind", [
+    (API, "wordpress"), ({"https://a.b/f.xml": "<rss>"}, "feed"), ({"https://a.b/atom.xml": "<?xml ?><channel>"}, "feed"), ({"https://a.b/robots.txt": "Sitemap: https://a.b/m.xml.gz\nSitemap: https://a.b/m.xml", "https://a.b/m.xml": "<urlset>"}, "sitemap"), ({}, "list"),
+])
+def test_probe(more, kind):
+    from quire.sources.probe import probe
+
+    pages = SITE | more
+    p = probe(lambda u: pages[u], "https://a.b/")
+    assert (p.kind, p.title, p.author, p.language) == (kind, "Name", "Jo", "zh-CN") and bool(p.notes) == (kind != "wordpress")
+    reg = AD.Registry([AD.ConfigAdapter.of({"name": "x", "hosts": ["a.b"], "entry_urls": ["/list"]})])
+    q = probe(pages.get, "https://a.b/", reg)
+    assert (q.kind, q.adapter, q.entry_urls, bool(q.api_root)) == ("adapter", "x", ["https://a.b/list"], kind == "wordpress")
+
+
+def test_images_stay_without_a_reader():
+    assert FE.shrink_image(b"no image", ".png", 100) == (b"no image", ".png") and FE.shrink_image(b"<svg/>", ".svg", 9) == (b"<svg/>", ".svg")
