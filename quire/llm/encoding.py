@@ -41,7 +41,11 @@ RARE_PAIRS = [
 ]
 #: Log-probabilities of entering a pair's state (of a rare pair, of two-byte writings read as single bytes), and of leaving.
 ENTER, RARE, WIDE, LEAVE = -9.0, -18.0, -14.0, -3.0
-#: What a change of state costs between two letters outside ASCII, as encodings seldom change inside a word.
+#: Log-probability a character below which a clean stretch is tried as garbled twice.
+UNLIKELY = -9.0
+UTF8_READERS = [r for w, r in PAIRS if w == "utf-8"]
+#: What a change of state costs between two letters outside ASCII, as encodings seldom change inside a word,
+#: and what a restored Cyrillic letter costs beside a Latin one.
 JOIN = -6.0
 #: The price of entering for a pair that has garbled a text in at least SEVERAL places already, used in restoring.
 AGAIN, SEVERAL = -2.0, 3
@@ -103,7 +107,9 @@ class Codec:
     def first(self, b: bytes, at: int) -> tuple[str, int] | None:
         """The character that begins at b[at:], with its length in bytes."""
         if self.single:
-            return self.single[b[at]], 1
+            c = self.single[b[at]]
+            # no author's text has controls, or frames and hard blanks inside words
+            return None if "\x7f" <= c <= "\xa0" or "\u2500" <= c <= "\u25a0" else (c, 1)
         lead = b[at]
         if lead < 0x80:
             return chr(lead), 1
@@ -152,12 +158,33 @@ class Labeller:
         if key in self.cache:
             return self.cache[key]
         out = self._viterbi(prev, run, nxt)
+        if out and "loss" not in out[1]:
+            out = self._twice(prev, run, out, self.model.score(out[0], prev) + ENTER)
+        elif out is None and len(run) <= 40 and (plain := self.model.score(run, prev)) < UNLIKELY * len(run):
+            out = self._twice(prev, run, None, plain)
         if len(run) <= 40:
             if len(self.cache) >= self.CACHE:
                 self.cache.popitem(last=False)
             self.cache[key] = out
         return out
 
+    def _twice(self, prev: str, run: str, best: tuple[str, tuple[str, ...]] | None, score: float) -> tuple[str, tuple[str, ...]] | None:
+        """A stretch that was UTF-8 read wrongly twice, if that explains it better than `best` with its score."""
+        for a in UTF8_READERS:
+            try:
+                once = run.encode(a).decode("utf-8")
+            except (UnicodeEncodeError, UnicodeDecodeError):
+                continue
+            for b in UTF8_READERS:
+                try:
+                    text = once.encode(b).decode("utf-8")
+                except (UnicodeEncodeError, UnicodeDecodeError):
+                    continue
+                s = self.model.score(text, prev) + 2 * ENTER
+                if text != once and s > score:
+                    best, score = (text, (f"utf-8>{a}", f"utf-8>{b}")), s
+        return best
+
     def _viterbi(self, prev: str, run: str, nxt: str) -> tuple[str, tuple[str, ...]] | None:
         logp, n = self.model.logp, len(run)
         letter = [c > "\x7f" and c.isalpha() for c in run]
@@ -207,6 +234,9 @@ class Labeller:
                     u, m = got
                     t = cur[0] + logp(cur[1], u)
                     e = o + m
+                    mixed = w.single is not None and "\u0400" <= u <= "\u04ff"
+                    if mixed and cur[1].isascii() and cur[1].isalpha():
+                        t += JOIN
                     if any(j in gaps for j in range(i, min(n, i + m)) if offs[j] < e):
                         continue
                     old = f.get(e)
@@ -215,6 +245,9 @@ class Labeller:
                     j = at.get(e)
                     if j is not None:
                         v = t + LEAVE + (JOIN if j < n and letter[j] and letter[j - 1] else 0.0)
+                        after = run[j] if j < n else nxt
+                        if mixed and after.isascii() and after.isalpha():
+                            v += JOIN
                         if clean[j] is None or v > clean[j][0]:
                             clean[j] = (v, u, ("out", k, e))
         # ways to end: the right context must follow

@@ -32,11 +32,16 @@ def test_only_the_garbled_part_changes(lab):
     assert lab.repair(f"Der {bad} prüft die Körner")[0] == "Der Kräuterhof prüft die Körner"
 
 
-def test_twice_garbled(lab):
-    t = "prüft während".encode().decode("cp1252").encode().decode("cp1252")
+@pytest.mark.parametrize("a,b", [("cp1252", "cp1252"), ("cp437", "iso-8859-1"), ("iso-8859-1", "gb18030")])
+def test_twice_garbled(lab, a, b):
+    t = "prüft während".encode().decode(a).encode().decode(b)
     assert lab.repair(t)[0] == "prüft während"
 
 
+def test_unusual_accents_are_clean(lab):
+    assert not lab.garbled("Copper Ferrieš at the Façade") and not lab.garbled("Ferrieš")
+
+
 def test_lost_bytes_are_found_and_read_again(lab):
     raw = CLEAN[3].encode("cp1251")
     text = raw.decode("utf-8", "replace")
