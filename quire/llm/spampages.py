@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -38,16 +38,20 @@ _HASH = re.compile(r"(?<![^\s])#[^\W\d_][\w]*|(?<![^\s])#\d+[^\W\d_]\w*")
 _WORD = re.compile(r"[^\W\d_]+")
 _WIDE = re.compile(r"[぀-ヿ㐀-鿿豈-﫿]+")
 _SENTENCE = re.compile(r"(?<=[.!?…])\s+(?=\S)|(?<=[。！？])")
-_END = re.compile(r"[.!?。！？…:：][\"'”’»)）」』*_\]]*$")
+# Ends of sentences, what may follow them, and separators of lists.
+ENDS, CLOSERS = frozenset(".!?。！？…:："), "\"'”’»)）」』*_]"
+SEPARATORS = re.compile("[,;|·•/、，；>]")
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _BREAK = re.compile(r"<br\s*/?>", re.I)
-_SEP = re.compile(r"[,;|·•/、，；>]| - | – ")
 #: Openings: clock time or date, quantity, bullet, term of a glossary, quotation, question or answer, heading.
 _LEAD = re.compile(r"(\[?\d{1,4}[:.\-/]\d{2}\b)|([-*+]?\s*\d+(?:[.,/]\d+)?\s*(?:g|kg|mg|ml|cl|dl|l|cm|mm|oz|lb|tsp|tbsp|EL|TL|cups?|г|мл|克|毫升|グラム)\b|[-*+]?\s*\d+\s*(?:克|毫升|グラム))|([-*+] )|(\*\*[^*]+\*\*\s*[:：–—-])|(> )|(#{1,6} )")
 _PRICE = re.compile(r"\d+[.,]\d{2}\b")
 LONG = 160
 
 
+LEADS = frozenset("0123456789[-*+># ")
+
+
 def units(text: str) -> list[tuple[str, bool]]:
     """(unit, whether it is code) in order: lines, those over LONG characters cut into sentences."""
     out, fence = [], False
@@ -69,7 +73,7 @@ def units(text: str) -> list[tuple[str, bool]]:
 def words(s: str) -> list[str]:
     """Lower-case words; in scripts without blanks, pairs of neighbouring characters."""
     found = _WORD.findall(s.lower())
-    if s.isascii():
+    if s.isascii() or not _WIDE.search(s):
         return found
     out = []
     for w in found:
@@ -79,7 +83,7 @@ def words(s: str) -> list[str]:
                 if m.start() > last:
                     out.append(w[last : m.start()])
                 r = m.group()
-                out.extend(r[i : i + 2] for i in range(len(r) - 1)) if len(r) > 1 else out.append(r)
+                out.extend(map(add, r, r[1:])) if len(r) > 1 else out.append(r)
                 last = m.end()
             if last < len(w):
                 out.append(w[last:])
@@ -95,19 +99,19 @@ def shape(s: str, ws: list[str], often: set) -> tuple[int, ...] | None:
     if not k and not link:
         return None
     tag = sum(map(len, _HASH.findall(s))) / n if "#" in s else 0.0
-    sep = len(_SEP.findall(s))
+    sep = len(SEPARATORS.findall(s)) + s.count(" - ") + s.count(" – ")
     part = (n if s.isascii() else n + 2 * sum(map(len, _WIDE.findall(s)))) / (sep + 1)
     rep = sum(map(often.__contains__, zip(ws, ws[1:]))) / (k - 1) if k > 1 and often else 0.0
     own = len(set(ws)) / k if k > 8 else 1.0
-    lead = _LEAD.match(s)
+    lead = _LEAD.match(s) if s[0] in LEADS else None
     return (
         0 if link == 0 else 1 if link < 0.5 else 2 if link < 0.85 else 3,
         0 if tag == 0 else 1 if tag < 0.6 else 2,
-        1 if _END.search(s) else 0,
+        1 if s.rstrip(CLOSERS)[-1:] in ENDS else 0,
         0 if sep == 0 else 1 if part >= 40 else 2 if part >= 18 else 3,
         min(4, int(rep * 5)),
         0 if k <= 3 else 1 if k <= 8 else 2,
-        1 if _PRICE.search(s) else 0,
+        1 if ("." in s or "," in s) and _PRICE.search(s) else 0,
         0 if own < 0.5 else 1 if own < 0.65 else 2 if own < 0.8 else 3,
         lead.lastindex if lead else 0,
     )
@@ -145,6 +149,13 @@ def settled(w: list[str], f: tuple[int, ...]) -> int | None:
     return None
 
 
+class Weights(dict):
+    """Words to weights; 0 for unknown ones."""
+
+    def __missing__(self, key: str) -> float:
+        return 0.0
+
+
 class Model:
     """Emissions and transitions, in logarithms."""
 
@@ -185,11 +196,11 @@ class Model:
         prose, rest = words_of[PROSE], words_of[LINKS] + words_of[TAGS] + words_of[MENU]
         np_, nr = sum(prose.values()) + 1.0, sum(rest.values()) + 1.0
         v = len(set(prose) | set(rest)) + 1.0
-        self.weight = {
+        self.weight = Weights({
             w: max(-self.CLIP, min(self.CLIP, math.log((prose[w] + 0.5) / (np_ + 0.5 * v)) - math.log((rest[w] + 0.5) / (nr + 0.5 * v))))
             for w in set(prose) | set(rest)
             if prose[w] + rest[w] > 1
-        }
+        })
 
     def emit(self, w: list[str], f: tuple[int, ...] | None) -> tuple[float, ...]:
         if f is None:
@@ -199,8 +210,7 @@ class Model:
             e = self.known[f] = tuple(float(sum(t[s, v] for t, v in zip(self.shapes, f))) for s in range(len(STATES)))
         if w:
             # words of one unit depend on each other: their mean, counted as at most eight
-            get = self.weight.get
-            m = sum([get(x, 0.0) for x in w]) / len(w) * min(len(w), 8)
+            m = sum(map(self.weight.__getitem__, w)) / len(w) * min(len(w), 8)
             return (e[0] + m, *e[1:])
         return e
 
