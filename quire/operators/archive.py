@@ -92,11 +92,15 @@ class Archive:
         return str(self.root / path)
 
     def write_plan(self, plan: DataFrame) -> None:
-        """The plan as a table and as nested JSON lines, one a part."""
+        """The plan as a table and, if its parts aren't too large for that, as nested JSON lines, one a part."""
         from quire.plans.grouping import nested
 
         self.replace("plan", plan)
-        nested(plan).orderBy("part_no").drop("part_no").coalesce(1).write.mode("overwrite").json(str(self.root / "metadata" / "groups"))
+        try:
+            tree = nested(plan)
+        except ValueError:
+            return
+        tree.orderBy("part_no").drop("part_no").coalesce(1).write.mode("overwrite").json(str(self.root / "metadata" / "groups"))
 
     def read_plan(self, spark: SparkSession) -> DataFrame | None:
         """The plan, or None if there is none or it can't be read."""

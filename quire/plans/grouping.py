@@ -23,6 +23,8 @@ STRATEGIES = ("category", "date", "path", "flat")
 PLAN = ["part_no", "part_title", "part_slug", "section_no", "section_title", "section_slug", "pos", "url"]
 #: A plan of more parts than this isn't broadcast.
 MAX_PARTS = 10_000
+#: The most urls a part may have in nested form.
+MAX_NESTED = 200_000
 
 
 def _date(c: str = "date") -> Column:
@@ -165,8 +167,14 @@ def summary_lines(plan: DataFrame) -> DataFrame:
     return parts.unionByName(s.where("section_title <> ''").select("part_no", "section_no", F.format_string("    %s  %d 篇", "section_title", "n").alias("line")))
 
 
-def nested(plan: DataFrame) -> DataFrame:
-    """One row a part with its sections and their urls in order, for a JSON file. A section's urls gather in one row, as the file wants them."""
+def nested(plan: DataFrame, most: int = MAX_NESTED) -> DataFrame:
+    """One row a part with its sections and their urls in order, for a nested file.
+
+    A part gathers in one row, so its size is checked first; beyond `most` urls the flat plan is the form to write.
+    """
+    largest = plan.groupBy("part_no").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a part has {largest} urls, more than {most}")
     urls = F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"])
     s = plan.groupBy("part_no", "part_title", "part_slug", "section_no", "section_title", "section_slug").agg(urls.alias("urls"))
     subs = F.transform(F.array_sort(F.collect_list(F.struct("section_no", F.col("section_title").alias("title"), F.col("section_slug").alias("slug"), "urls"))), lambda x: F.struct(x["title"].alias("title"), x["slug"].alias("slug"), x["urls"].alias("urls")))

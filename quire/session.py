@@ -79,6 +79,13 @@ def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def slices(batches, rows: int = 1000):
+    """Batches of at most `rows` rows, so that what a function makes of one stays small."""
+    for pdf in batches:
+        for at in range(0, len(pdf), rows):
+            yield pdf.iloc[at : at + rows]
+
+
 def text_or(c, default: str = "") -> F.Column:
     """Missing values are the empty string in this data model."""
     return F.coalesce(c if not isinstance(c, str) else F.col(c), F.lit(default))
