@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import written
+from quire.session import slices, written
 
 MIN_DOCS, MIN_SHARE = 8, 0.15
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -107,7 +107,7 @@ def parse(df: DataFrame, key: str, doc: str, url: str, title: str, text: str) ->
     ).where("site IS NOT NULL AND text IS NOT NULL AND doc IS NOT NULL AND key IS NOT NULL")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             tree = TemplateTree()  # ids are hashes, so trees needn't outlive their batch
             keys, docs, sites, nos, ids = [], [], [], [], []
             for k, d, s, u, t, x in pdf.itertuples(index=False):

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import small
+from quire.session import slices, small
 
 # Strengths of boundaries.
 NONE, INSIDE, CHARACTER, BLANK, CLAUSE, SENTENCE, LINE, PARAGRAPH = range(8)
@@ -150,7 +150,7 @@ def split_texts(df: DataFrame, key: str, text: str, target: str, limit: str, ove
     src = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(target).cast("int").alias("target"), F.col(limit).cast("int").alias("limit"), F.col(overlap).cast("int").alias("overlap"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+        for pdf in slices(batches):
             rows = []
             for k, t, tg, lim, ov in pdf.itertuples(index=False):
                 if t is None:
