@@ -38,10 +38,9 @@ def climb(nodes: DataFrame, limit: int, dangling: bool = False) -> DataFrame:
     known = nodes.select(F.col("id").alias("parent"), F.lit(True).alias("known"))
     one = nodes.select("id", "parent").join(known, "parent", "left")
     step = F.col("known").isNotNull()
-    one = one.select("id", F.when(step, F.col("parent")).otherwise(F.col("id")).alias("top"), F.when(step, 1).when((F.col("parent") != 0) & F.lit(dangling), 1).otherwise(0).alias("steps"), (F.col("parent") == 0).alias("root"))
-    # a dangling step is taken once, at the end of a walk
-    ends = one.where(~F.col("root") & (F.col("top") == F.col("id"))).select(F.col("id").alias("end"))
-    one = one.select("id", "top", F.when(F.col("top") == F.col("id"), 0).otherwise(F.col("steps")).alias("steps"))
+    # a step to a missing parent is taken once, at the end of a walk
+    ends = one.where(~step & (F.col("parent") != 0)).select(F.col("id").alias("end"))
+    one = one.select("id", F.when(step, F.col("parent")).otherwise(F.col("id")).alias("top"), F.when(step, 1).otherwise(0).alias("steps"))
     power, done, left = written(one, "climb"), None, limit
     while left:
         if left & 1:

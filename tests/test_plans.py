@@ -89,8 +89,8 @@ def test_priority_and_theme_order(spark):
     assert first(X.auto_priority(c((1, "B", "broad", 0, 500), (2, "N", "narrow", 0, 3))))[0] == "narrow"
     assert first(X.auto_theme_order(c((1, "项目", "x", 0, 400), (2, "资源", "z", 0, 20), (3, "随笔", "suibi", 0, 1200)))) == ["x", "z", "suibi"]
     assert X.auto_theme_order(c((1, "A", "a", 0, 5))).count() == 0
-    d = {r.id: r.depth for r in X.depths(c((1, "", "a", 0, 0), (2, "", "b", 1, 0), (3, "", "c", 99, 0), (4, "", "d", 3, 0), (5, "", "e", 6, 0), (6, "", "f", 5, 0))).collect()}
-    assert d == {1: 0, 2: 1, 3: 1, 4: 2, 5: 32, 6: 32}
+    d = {r.id: r.depth for r in X.depths(c((1, "", "a", 0, 0), (2, "", "b", 1, 0), (3, "", "c", 99, 0), (4, "", "d", 3, 0), (5, "", "e", 6, 0), (6, "", "f", 5, 0), (7, "", "g", 7, 0), (8, "", "h", 7, 0))).collect()}
+    assert d == {1: 0, 2: 1, 3: 1, 4: 2, 5: 32, 6: 32, 7: 32, 8: 32}
 
 
 def test_category_plan(spark):
