@@ -334,7 +334,7 @@ class Labeller:
         return text, used
 
     def read(self, content: bytes, text: str, used: list[str]) -> str:
-        """The best reading of the bytes, where they hold more than `text`."""
+        """The best reading of the bytes, where they hold more than `text`; every character outside ASCII of the whole page has a say."""
         if not used or content is None:
             return text
         best, score = text, None
@@ -345,9 +345,11 @@ class Labeller:
                 continue
             if name == "utf-8":
                 return t
-            body = [(m.group(), t[m.start() - 1] if m.start() else " ") for m in re.finditer(r"[^\x00-\x7f]+", t[:20000])]
-            n = sum(len(x) for x, _ in body) or 1
-            s = sum(self.model.score(x, p) for x, p in body) / n
+            body = Counter((m.group(), t[m.start() - 1] if m.start() else " ") for m in re.finditer(r"[^\x00-\x7f]+", t))
+            n = sum(len(x) * k for (x, _), k in body.items())
+            if not n:
+                continue  # nothing to judge by
+            s = sum(self.model.score(x, p) * k for (x, p), k in body.items()) / n
             if score is None or s > score:
                 best, score = t, s
         return best

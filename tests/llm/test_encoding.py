@@ -49,6 +49,13 @@ def test_lost_bytes_are_found_and_read_again(lab):
     assert lab.read(raw, text, ["loss"]) == CLEAN[3]
 
 
+@pytest.mark.parametrize("head", ["", "© "])
+def test_bytes_are_read_by_the_whole_page(lab, head):
+    page = head + "plain words " * 2000 + CLEAN[1] * 3
+    raw = page.encode("cp1252")
+    assert lab.read(raw, raw.decode("utf-8", "replace"), ["loss"]) == page
+
+
 def test_character_references_and_capitals_are_clean(lab):
     for t in ["caf&Atilde;&copy; &#195;&#169;", "PROMOÇÃO", "RÈGLES ÉCRITES", "5 €"]:
         assert not lab.garbled(t)
