@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -15,6 +16,8 @@ BLOCK = {
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 
+_LONG = re.compile(r"&#0*([0-9]{8})[0-9]*|&#0{8,}(?=[0-9])")
+
 
 class Node:
     """An element; children are Nodes and strings in document order."""
@@ -107,6 +110,18 @@ class _Builder(HTMLParser):
         if data:
             self.at.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        # a comment to the next ">", as browsers read it; sections exist in svg and math alone
+        if self.rawdata.startswith("<![CDATA[", i) and self._inside("svg", "math"):
+            return super().parse_marked_section(i, report)
+        return self.parse_bogus_comment(i, report)
+
+    def _inside(self, *tags: str) -> bool:
+        n = self.at
+        while n is not self.root and n.tag not in tags:
+            n = n.parent
+        return n is not self.root
+
     def _close(self, tag: str, stop: tuple[str, ...] = ()) -> None:
         n = self.at
         while n is not self.root:
@@ -133,7 +148,8 @@ def parse(html: str | None) -> Node:
     b = _Builder()
     if html:
         try:
-            b.feed(html)
+            # int() refuses numbers of thousands of digits; eight say as well that there is no such character
+            b.feed(_LONG.sub(r"&#\1", html))
             b.close()
         except (AssertionError, ValueError, RecursionError):  # malformed declarations
             pass

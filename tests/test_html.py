@@ -34,6 +34,23 @@ def test_task_boxes_and_images_with_resolver():
     assert w.write(parse("<ul><li><input type=checkbox checked> a</ul><img src=a><img src=b>")) == "- [x] a\n\n![](assets/a)\n\n![](b)\n" and w.images == ["assets/a"]
 
 
+@pytest.mark.parametrize("bad", ["<![foo[x]]>", "<![ x]>", "<![>", "<![1]>", "<![foo\n[x]]>", "<![endif foo>", "<![if x>", "<![CDATA[x>"])
+def test_malformed_marked_sections_are_comments(bad):
+    r = parse(f"<p>a</p>{bad}<p>b</p>{bad}<p>c</p>")
+    assert [p.text() for p in r.find("p")] == ["a", "b", "c"] and "<!" not in r.text()
+    assert md(f"<article><p>a</p>{bad}<p>b</p></article>") == "a\n\nb\n"
+
+
+def test_marked_sections_lose_no_text():
+    assert [p.text() for p in parse("<p>a</p><![if x><p>b</p><![endif]><p>c</p>").find("p")] == ["a", "b", "c"]
+    assert parse("<p>a<![CDATA[<b>b</b>]]>c</p>").text() == "ab]]>c" and parse("<p>a<svg><![CDATA[x>y]]></svg>c</p>").text() == "ac"
+
+
+def test_character_references_of_any_length():
+    assert parse("<p>a&#" + "9" * 5000 + ";</p><p>b</p>").text() == "a\ufffdb"
+    assert parse("<p title='&#" + "0" * 5000 + "65;'>a&#" + "0" * 5000 + "66;&#000000067;&#0000000000;&#68;</p>").text() == "aBC\ufffdD"
+
+
 def test_tree_recovers():
     r = parse("<table><tr><td>a<td>b<tr><td>c</table><p>x<div>y</div><script>var a='</p>'</script>")
     assert len(list(r.find("tr"))) == 2 and [p.text() for p in r.find("p")] == ["x"]
