@@ -1,11 +1,13 @@
-"""Character n-gram statistics of clean text, fitted on a bounded sample of rows."""
+"""Character n-gram statistics of text, counted over all rows or fitted on a bounded sample of them."""
 
 from __future__ import annotations
 
 import math
 import re
 from collections import Counter
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,10 +39,10 @@ class CharModel:
     K = 6.0
     FLOOR, HAN = 2e-8, 1e-6
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], seed: str = SEED):
         self.uni: Counter = Counter()
         self.bi: Counter = Counter()
-        for t in [SEED, *texts]:
+        for t in [seed, *texts]:
             self.add(t)
         self.total = sum(self.uni.values())
         self._memo: dict[str, float] = {}
@@ -91,6 +93,30 @@ class CharModel:
         return s
 
 
+def count_texts(df: DataFrame, text: str, prepare: Callable[[str], str] | None = None) -> CharModel:
+    """The model of all texts of `df`, each as `prepare` gives it.
+
+    Every task counts its rows first, so what is shuffled and sent to the driver is bounded by the
+    distinct pairs of characters, not by the rows.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = CharModel([], seed="")
+        for b in batches:
+            for t in b["t"]:
+                m.add(prepare(t) if prepare else t)
+        for grams in (m.uni, m.bi):
+            yield pd.DataFrame({"gram": list(grams.keys()), "n": list(grams.values())}).astype({"gram": object, "n": "int64"})
+
+    texts = df.select(F.col(text).alias("t")).where(F.length("t") > 0)
+    got = texts.mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    model = CharModel([])
+    for g, n in zip(got["gram"].to_pylist(), got["n"].to_pylist()):
+        (model.uni if len(g) == 1 else model.bi)[g] += n
+    model.total = sum(model.uni.values())
+    return model
+
+
 def sample_texts(df: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> list[str]:
     """At most `rows` non-empty texts, those with the smallest hashes of their key.
 

@@ -21,10 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.charlm import CharModel, sample_texts
+from quire.llm.charlm import CharModel, count_texts
 
-#: The bound of the sample of strings that trains the bigram scores.
-SAMPLE_STRINGS = 20_000
 #: Log-price of a change of script within a token.
 SWITCH = -6.0
 
@@ -142,9 +140,9 @@ class Form:
         return "".join(reversed(out))
 
 
-def fit(df: DataFrame, key: str, text: str, rows: int = SAMPLE_STRINGS) -> CharModel:
-    """Bigram scores of at most `rows` strings, decomposed as the lattices are."""
-    return CharModel([fold(t) for t in sample_texts(df, key, text, rows)])
+def fit(df: DataFrame, text: str) -> CharModel:
+    """Bigram scores of all strings, decomposed as the lattices are."""
+    return count_texts(df, text, fold)
 
 
 _forms: dict[int, Form] = {}

@@ -30,7 +30,7 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = table(spark, sf_dir, "articles").selectExpr("'articles.title' AS field", "'' AS site", "article_no AS key", "title AS text")
     c = table(spark, sf_dir, "categories").selectExpr("'categories.name' AS field", "site", "CAST(id AS BIGINT) AS key", "name AS text")
     rows = a.unionByName(c)
-    return lookalike.add_form(rows, lookalike.fit(rows, "text", "text"), "text", "form")
+    return lookalike.add_form(rows, lookalike.fit(rows, "text"), "text", "form")
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:

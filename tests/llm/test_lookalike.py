@@ -52,3 +52,11 @@ def test_pairs_against_brute_force(spark):
     want = {(a[0], *sorted((a[1], b[1]))) for a, b in combinations(set(rows), 2) if a[0] and a[0] == b[0] and a[2] is not None and b[2] is not None and a[2] != b[2] and f(a[2]) == f(b[2])}
     assert got == want and ("x", 0, 1) in got
     assert L.equal_looking(df.limit(0), ["site"]).count() == 0
+
+
+def test_every_string_is_counted(spark):
+    rows = [(f"Ｔitle {i}\U0001f600",) for i in range(21_000)] + [("Πηγή",)] * 3 + [(None,), ("",)]
+    df = spark.createDataFrame(rows, "text string").repartition(5)
+    m, want = L.fit(df, "text"), CharModel([L.fold(t) for t, in rows if t])
+    assert (m.uni, m.bi, m.total) == (want.uni, want.bi, want.total) and m.uni["T"] >= 21_000 and m.bi["Πη"] == 3
+    assert L.fit(df.limit(0), "text").uni == CharModel([]).uni
