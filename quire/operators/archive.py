@@ -92,15 +92,24 @@ class Archive:
         return str(self.root / path)
 
     def write_plan(self, plan: DataFrame) -> None:
-        """The plan as a table and, if its parts aren't too large for that, as nested JSON lines, one a part."""
+        """The plan as a table and as nested JSON lines, one a part.
+
+        If a part is too large for that, the former folder goes, as it would disagree with the table, and a stage record says so.
+        """
+        import shutil
+
         from quire.plans.grouping import nested
 
         self.replace("plan", plan)
+        groups = self.root / "metadata" / "groups"
         try:
             tree = nested(plan)
-        except ValueError:
+        except ValueError as e:
+            if groups.exists():
+                shutil.rmtree(groups)
+            self.record_stage("plan", {"groups": "not written", "reason": str(e)})
             return
-        tree.orderBy("part_no").drop("part_no").coalesce(1).write.mode("overwrite").json(str(self.root / "metadata" / "groups"))
+        tree.orderBy("part_no").drop("part_no").coalesce(1).write.mode("overwrite").json(str(groups))
 
     def read_plan(self, spark: SparkSession) -> DataFrame | None:
         """The plan, or None if there is none or it can't be read."""

@@ -70,3 +70,16 @@ def test_plan_and_nothing(spark, items, tmp_path):
     assert {r.grp for r in ar.table(spark, "articles").collect()} == {"p"} and ar.read_plan(spark).count() == 3 - 1 + 1
     none = B.fetch_stage(spark, Archive(str(tmp_path / "n"), {}), items.limit(0), transport, delay=0, jitter=0).first()
     assert (none.fetched, none.written, none.articles_total) == (0, 0, 0)
+
+
+def test_plan_too_large_to_nest_leaves_no_old_groups(spark, tmp_path, monkeypatch):
+    row = "part_no long, part_title string, part_slug string, section_no long, section_title string, section_slug string, pos long, url string"
+    plan = spark.createDataFrame([(1, "P", "p", 1, "S", "s", i, f"u{i}") for i in range(3)], row)
+    ar, real = Archive(str(tmp_path / "a")), G.nested
+    ar.write_plan(plan.where("pos < 2"))
+    assert (tmp_path / "a/metadata/groups").is_dir() and not ar._read("metadata/stages.json", [])
+    monkeypatch.setattr(G, "nested", lambda p: real(p, 2))
+    ar.write_plan(plan)
+    assert not (tmp_path / "a/metadata/groups").exists() and ar.read_plan(spark).count() == 3
+    last = ar._read("metadata/stages.json", [])[-1]
+    assert (last["stage"], last["groups"]) == ("plan", "not written") and "3 urls" in last["reason"]
