@@ -29,7 +29,7 @@ SWITCH = -6.0
 # Characters drawn alike, a class each.
 CLASSES = [
     "AАΑᎪ", "BВΒᏴ", "CСϹᏟ", "DᎠ", "EЕΕᎬ", "GᏀ", "HНΗᎻ", "IІΙӀ", "JЈͿᎫ", "KКΚᏦ", "LᏞ", "MМΜᎷ", "NΝ", "OОΟՕ", "PРΡᏢ", "QԚ", "SЅᏚ", "TТΤᎢ", "VѴᏙ", "WԜᎳ", "XХΧ", "YΥҮ", "ZΖᏃ",
-    "aа", "cсϲ", "dԁ", "eе", "hһ", "iі", "jјϳ", "lӏ", "oоοօ", "pр", "qԛ", "sѕ", "vѵν", "wԝ", "xх", "yуү", "ГΓ", "ПΠ", "ФΦ", "кκĸ", "əә", "ӕæ",
+    "aаɑα", "cсϲ", "dԁ", "eе", "gɡց", "hһհ", "iіι", "jјϳ", "lӏ", "nո", "oоοօ", "pрρ", "qԛ", "sѕ", "uυս", "vѵν", "wԝ", "xх", "yуү", "ГΓ", "ПΠ", "ФΦ", "кκĸ", "əә", "ӕæ",
     "-‐", "–‒", "’ʼ", ":∶꞉", "/∕⁄", ",‚", "!ǃ", "|ǀ∣", "*∗", "~∼", "·‧⋅", "二ニ", "口ロ", "力カ", "夕タ", "工エ", "八ハ", "卜ト", "一ー",
 ]
 # Compatibility mappings that keep the look, and characters to leave as they are.
@@ -77,7 +77,7 @@ def fold(s: str) -> str:
 
 def script_of(c: str) -> str:
     o = ord(c)
-    if o < 0x250:
+    if o < 0x2B0:
         return "L" if c.isalpha() else ""
     if 0x370 <= o <= 0x3FF:
         return "G"

@@ -60,3 +60,9 @@ def test_every_string_is_counted(spark):
     m, want = L.fit(df, "text"), CharModel([L.fold(t) for t, in rows if t])
     assert (m.uni, m.bi, m.total) == (want.uni, want.bi, want.total) and m.uni["T"] >= 21_000 and m.bi["Πη"] == 3
     assert L.fit(df.limit(0), "text").uni == CharModel([]).uni
+
+
+def test_letters_alike_in_ipa_greek_and_armenian():
+    f = form()
+    for a, b in [("gap", "ɡɑρ"), ("pain", "ραιո"), ("hun", "հսո"), ("gut", "ցυt")]:
+        assert f(a) == f(b)
