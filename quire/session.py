@@ -64,19 +64,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there goes when the session's driver ends, on whatever filesystem it lies."""
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-    local = path.removeprefix("file://")
-    if os.path.isabs(local) and "://" not in local:
-        atexit.register(shutil.rmtree, local, ignore_errors=True)
+    made = getattr(spark, "_quire_made", None)
+    if made is None:
+        made = spark._quire_made = []
+        # atexit runs the last registered first, so this comes before the JVM's end
+        atexit.register(forget, spark)
+    made.append(path)
     return path
 
 
-def small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
-    """`df` with a broadcast hint if it has at most `max_rows` rows, else unchanged.
+def forget(spark: SparkSession) -> None:
+    """Delete the intermediate tables written so far."""
+    made = getattr(spark, "_quire_made", [])
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        while made:
+            p = jvm.org.apache.hadoop.fs.Path(made.pop())
+            p.getFileSystem(conf).delete(p, True)
+    except Exception:  # noqa: BLE001  a session that has been stopped can only reach local folders
+        while made:
+            shutil.rmtree(made.pop().removeprefix("file://"), ignore_errors=True)
 
-    The check reads at most max_rows + 1 rows; beyond the bound Spark chooses a shuffle join.
+
+def small(df: DataFrame, max_rows: int = 10_000, max_bytes: int = 32 << 20) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `max_rows` rows of together `max_bytes`, else unchanged.
+
+    The check reads at most max_rows + 1 rows; their size is that of their JSON. Beyond the bound Spark
+    chooses a shuffle join.
     """
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+    size = F.octet_length(F.to_json(F.struct("*"))).cast("long")
+    n, held = df.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and held <= max_bytes else df
 
 
 def slices(batches, rows: int = 1000):
