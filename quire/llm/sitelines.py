@@ -1,13 +1,20 @@
 """Lines repeated across the documents of one site.
 
 Every line is parsed into a template: its letters alone, casefolded, with wildcard slots for the
-document's own title and address. A token tree of fixed depth (length class, first letters, last
-letters) holds the templates of a partition; its leaves list templates, and a template's id is a
-hash of the site and the template, so trees of different partitions merge by their ids. Templates
-that cover enough documents of their site are boilerplate; their lines are named and removed.
+document's own title and address. Each task puts the templates of its documents into a token tree of
+fixed depth: site, length class, first token, last token, leaf. A token is a slot or a block of
+letters, as blanks don't count here. A leaf counts the documents that led to it.
 
-Counts are taken over distinct documents, after a map-side distinct, so a hot site costs rows of a
-few numbers each, spread by template id. No line is sampled or capped.
+The trees of all tasks are returned as rows (site, path, leaf, documents) and merged by summing over
+equal paths. The sums bound a template's documents from above, since a document may be read by
+several tasks; leaves whose sum reaches the limits make up the merged tree of their site. Lines that
+lead to a leaf of the merged tree are the candidates, and only their documents are counted exactly,
+as distinct ones. Templates that cover enough documents of their site are boilerplate; their lines
+are named and removed.
+
+A site's merged tree is bounded by what a document holds: leaves that cover a share s of the
+documents number at most (lines a document) / s. No line is sampled or capped. Leaves are told apart
+by site, path and 64 bits of the template.
 
 Nulls: a NULL text has no lines, a NULL address has no site and takes no part, NULL titles fill no
 slot, rows with a NULL key or document are left out. Repeated rows count once. Lines without a letter are never boilerplate.
@@ -15,6 +22,7 @@ slot, rows with a NULL key or document are left out. Repeated rows count once. L
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,12 +32,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import slices, written
+from quire.session import slices, small, written
 
 MIN_DOCS, MIN_SHARE = 8, 0.15
 _LETTERS = re.compile(r"[^\W\d_]+")
+#: Leaves a task's tree may hold before it is handed on and a new one begun; merging makes them one again.
+LEAVES = 200_000
 _SEPARATORS = re.compile(r"\s+[-–—|·»:/]\s+")
-TITLE, URL = "", ""
+TITLE, URL = "\ue000", "\ue001"
+SLOTS = TITLE + URL
+_SLOT = re.compile(f"[{SLOTS}]")
 
 
 def site_of(url) -> F.Column:
@@ -59,22 +71,42 @@ def own_titles(title: str | None, site: str | None) -> list[str]:
 
 
 class TemplateTree:
-    """Templates of one partition in a tree of fixed depth."""
+    """Templates of one task in a token tree of fixed depth, with the documents counted at its leaves."""
 
     WIDTH, BLOCK = 16, 4
 
     def __init__(self) -> None:
         self.root: dict = {}
-
-    def id_of(self, site: str, template: str) -> int:
-        level = self.root.setdefault(len(template) // self.WIDTH, {})
-        level = level.setdefault(template[: self.BLOCK], {})
-        leaf = level.setdefault(template[-self.BLOCK :], {})
-        key = (site, template)
-        got = leaf.get(key)
+        self.leaves = 0
+
+    def path_of(self, template: str) -> str:
+        """Length class, first and last token; a slot is a token of its own, whatever it holds."""
+        first, last = template[: self.BLOCK], template[-self.BLOCK :]
+        if not first.isalpha():
+            first = template[0] if template[0] in SLOTS else _SLOT.split(first)[0]
+        if not last.isalpha():
+            last = template[-1] if template[-1] in SLOTS else _SLOT.split(last)[-1]
+        return f"{len(template) // self.WIDTH} {first} {last}"
+
+    def add(self, site: str, template: str, doc: int) -> int:
+        """The leaf a template leads to; it counts `doc` unless that was the last one it counted."""
+        leaf = xxhash.xxh64_intdigest(f"{site}\0{template}") - (1 << 63)
+        under = self.root.setdefault(site, {}).setdefault(self.path_of(template), {})
+        got = under.get(leaf)
         if got is None:
-            got = leaf[key] = xxhash.xxh64_intdigest(f"{site}\0{template}") - (1 << 63)
-        return got
+            under[leaf] = [1, doc]
+            self.leaves += 1
+        elif got[1] != doc:
+            got[0] += 1
+            got[1] = doc
+        return leaf
+
+    def rows(self) -> Iterator[tuple[str, str, int, int]]:
+        """(site, path, leaf, documents)."""
+        for site, paths in self.root.items():
+            for path, leaves in paths.items():
+                for leaf, (n, _) in leaves.items():
+                    yield site, path, leaf, n
 
 
 def templates(text: str, titles: list[str], url: str | None) -> Iterator[tuple[int, list[str]]]:
@@ -100,42 +132,66 @@ def templates(text: str, titles: list[str], url: str | None) -> Iterator[tuple[i
         yield no, [slotted] if slotted == plain else [slotted, plain]
 
 
-def parse(df: DataFrame, key: str, doc: str, url: str, title: str, text: str) -> DataFrame:
-    """(key, doc, line_no, template) of every line with a letter; one row a template."""
+PARSED = "key long, doc long, site string, nos array<int>, ids array<long>, path string, leaf long, docs long"
+
+
+def parse(df: DataFrame, key: str, doc: str, url: str, title: str, text: str, leaves: int = LEAVES) -> DataFrame:
+    """Rows of documents (key, doc, site, nos, ids: line numbers and the leaves they lead to) and of trees (site, path, leaf, docs)."""
     src = df.select(
         F.col(key).alias("key"), F.col(doc).alias("doc"), site_of(F.col(url)).alias("site"), F.col(url).alias("url"), F.col(title).alias("title"), F.col(text).alias("text")
     ).where("site IS NOT NULL AND text IS NOT NULL AND doc IS NOT NULL AND key IS NOT NULL")
+    whole = {c.split()[0]: None for c in PARSED.split(", ")}
+
+    def handed(tree: TemplateTree) -> Iterator[pd.DataFrame]:
+        rows = tree.rows()
+        while part := list(itertools.islice(rows, 20_000)):
+            yield pd.DataFrame(whole | dict(zip(("site", "path", "leaf", "docs"), zip(*part))), index=range(len(part)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tree = TemplateTree()
         for pdf in slices(batches):
-            tree = TemplateTree()  # ids are hashes, so trees needn't outlive their batch
             keys, docs, sites, nos, ids = [], [], [], [], []
             for k, d, s, u, t, x in pdf.itertuples(index=False):
                 ln, ti = [], []
                 for no, ts in templates(x, own_titles(t, s), u):
                     for one in ts:
                         ln.append(no)
-                        ti.append(tree.id_of(s, one))
+                        ti.append(tree.add(s, one, d))
                 keys.append(k)
                 docs.append(d)
                 sites.append(s)
                 nos.append(ln)
                 ids.append(ti)
-            yield pd.DataFrame({"key": keys, "doc": docs, "site": sites, "nos": nos, "ids": ids})
+            yield pd.DataFrame(whole | {"key": keys, "doc": docs, "site": sites, "nos": nos, "ids": ids}, index=range(len(keys)))
+            if tree.leaves >= leaves:
+                yield from handed(tree)
+                tree = TemplateTree()
+        yield from handed(tree)
+
+    return src.mapInPandas(run, PARSED)
+
 
-    return src.mapInPandas(run, "key long, doc long, site string, nos array<int>, ids array<long>")
+def merged(trees: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
+    """(site, path, leaf, docs): the trees (site, path, leaf, docs) as one, with the leaves that enough of the site's `docs` (site, n) may have led to."""
+    one = trees.groupBy("site", "path", "leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
+    return one.join(docs, "site").where(F.col("docs") >= F.col("n") * min_share).drop("n")
 
 
 def repeated_lines(df: DataFrame, key: str = "extract_id", doc: str = "article_no", url: str = "url", title: str = "title", text: str = "markdown",
                    min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(key, line_no) of the lines whose template covers at least `min_docs` documents and `min_share` of its site's."""
     parsed = written(parse(df, key, doc, url, title, text), "site-lines")
-    lines = parsed.select("key", "doc", "site", F.explode(F.arrays_zip("nos", "ids")).alias("x")).select("key", "doc", "site", F.col("x.nos").alias("line_no"), F.col("x.ids").alias("id"))
-    docs = parsed.select("site", "doc").distinct().groupBy("site").agg(F.count("*").alias("n"))
-    # a template's documents: distinct before the shuffle where a document repeats it
-    covers = lines.select("site", "id", "doc").distinct().groupBy("site", "id").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs)
-    bad = covers.join(docs, "site").where(F.col("c") >= F.col("n") * min_share).select("id")
-    return lines.join(bad, "id", "left_semi").select(F.col("key").alias(key), "line_no").distinct()
+    rows = parsed.where("path IS NULL").select("key", "doc", "site", "nos", "ids")
+    docs = written(rows.select("site", "doc").distinct().groupBy("site").agg(F.count("*").alias("n")), "site-docs")
+    tree = merged(parsed.where("path IS NOT NULL").select("site", "path", "leaf", "docs"), docs, min_docs, min_share)
+    tree = written(tree.groupBy("site").agg(F.collect_set("leaf").alias("leaves")), "site-trees")
+    # lines go down their site's merged tree before they are told apart, so the many that end nowhere make no rows
+    hits = rows.join(small(tree), "site").select("key", "doc", "site", F.expr("inline(filter(arrays_zip(nos, ids), x -> array_contains(leaves, x.ids)))"))
+    hits = written(hits.select(F.col("key").alias("key"), "doc", "site", F.col("nos").alias("line_no"), F.col("ids").alias("leaf")), "site-hits")
+    # distinct before the count, with a combine on the map side where a document repeats a line
+    covers = hits.select("site", "leaf", "doc").distinct().groupBy("site", "leaf").agg(F.count("*").alias("c")).where(F.col("c") >= min_docs)
+    bad = covers.join(docs, "site").where(F.col("c") >= F.col("n") * min_share).select("site", "leaf")
+    return hits.join(bad, ["site", "leaf"], "left_semi").select(F.col("key").alias(key), "line_no").distinct()
 
 
 def remove_lines(df: DataFrame, lines: DataFrame, key: str = "extract_id", text: str = "markdown", out: str = "cleaned") -> DataFrame:

@@ -66,3 +66,30 @@ def test_nulls_and_empty(spark):
 def test_titles_without_the_site():
     assert S.own_titles("Maps: a guide – my-site.example", "my-site.example")[0] == S.letters("Maps: a guide")
     assert S.own_titles(None, None) == []
+
+
+def test_trees_of_two_tasks_merge_a_slot(spark):
+    """The same prompt quotes another title in each document; both tasks' trees lead it to one leaf behind a wildcard."""
+    def one(i, t):
+        return (i, i, f"https://a.example/{i}", t, f"Share {t} with friends\nOnly here {t[::-1]}")
+
+    titles = ["Old kettles", "New bread", "Far harbours", "Wet ropes", "Tall trees", "Low tide", "Red clay", "Dry stone", "Late rain"]
+    df = spark.createDataFrame([one(i, t) for i, t in enumerate(titles)], SCHEMA).repartition(2, "article_no")
+    trees = S.parse(df, "extract_id", "article_no", "url", "title", "markdown").where("path IS NOT NULL").select("site", "path", "leaf", "docs")
+    rows = trees.where(F.col("docs") > 1).collect()
+    assert len(rows) == 2 and len({(r.path, r.leaf) for r in rows}) == 1
+    docs = spark.createDataFrame([("a.example", 9)], "site string, n long")
+    got = S.merged(trees, docs).collect()
+    assert [r.docs for r in got] == [9] and got[0].path == rows[0].path
+    # a tree handed on after every few leaves merges to the same
+    early = S.parse(df, "extract_id", "article_no", "url", "title", "markdown", leaves=3).where("path IS NOT NULL").select("site", "path", "leaf", "docs")
+    assert S.merged(early, docs).collect() == got
+    found = {(r.extract_id, r.line_no) for r in S.repeated_lines(df).collect()}
+    assert found == {(i, 1) for i in range(9)}
+
+
+def test_path_stops_at_slots():
+    t = S.TemplateTree()
+    assert t.path_of(f"ab{S.TITLE}cdefgh") == "0 ab efgh"
+    assert t.path_of(f"{S.TITLE}cdefgh{S.URL}") == f"0 {S.TITLE} {S.URL}"
+    assert t.add("s", "abc", 1) == t.add("s", "abc", 1) and list(t.rows())[0][3] == 1
