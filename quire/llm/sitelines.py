@@ -27,12 +27,12 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import slices, small, written
+from quire.session import small, written
 
 MIN_DOCS, MIN_SHARE = 8, 0.15
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -132,47 +132,53 @@ def templates(text: str, titles: list[str], url: str | None) -> Iterator[tuple[i
         yield no, [slotted] if slotted == plain else [slotted, plain]
 
 
-PARSED = "key long, doc long, site string, nos array<int>, ids array<long>, path string, leaf long, docs long"
+PARSED = "key long, doc long, site string, nos array<int>, ids array<long>, tree array<struct<site:string,path:string,leaf:long,docs:long>>"
+
+
+LINE_TYPES = {"key": pa.int64(), "doc": pa.int64(), "site": pa.string(), "nos": pa.list_(pa.int32()), "ids": pa.list_(pa.int64())}
+TREE_TYPE = pa.list_(pa.struct([("site", pa.string()), ("path", pa.string()), ("leaf", pa.int64()), ("docs", pa.int64())]))
 
 
 def parse(df: DataFrame, key: str, doc: str, url: str, title: str, text: str, leaves: int = LEAVES) -> DataFrame:
-    """Rows of documents (key, doc, site, nos, ids: line numbers and the leaves they lead to) and of trees (site, path, leaf, docs)."""
+    """Rows of documents (key, doc, site, nos, ids: line numbers and the leaves they lead to) and of trees (tree: their leaves)."""
     src = df.select(
-        F.col(key).alias("key"), F.col(doc).alias("doc"), site_of(F.col(url)).alias("site"), F.col(url).alias("url"), F.col(title).alias("title"), F.col(text).alias("text")
+        F.col(key).cast("long").alias("key"), F.col(doc).cast("long").alias("doc"), site_of(F.col(url)).alias("site"), F.col(url).alias("url"), F.col(title).alias("title"), F.col(text).alias("text")
     ).where("site IS NOT NULL AND text IS NOT NULL AND doc IS NOT NULL AND key IS NOT NULL")
-    whole = {c.split()[0]: None for c in PARSED.split(", ")}
 
-    def handed(tree: TemplateTree) -> Iterator[pd.DataFrame]:
+    def handed(tree: TemplateTree) -> Iterator[pa.RecordBatch]:
         rows = tree.rows()
         while part := list(itertools.islice(rows, 20_000)):
-            yield pd.DataFrame(whole | dict(zip(("site", "path", "leaf", "docs"), zip(*part))), index=range(len(part)))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tree = TemplateTree()
-        for pdf in slices(batches):
-            keys, docs, sites, nos, ids = [], [], [], [], []
-            for k, d, s, u, t, x in pdf.itertuples(index=False):
-                ln, ti = [], []
-                for no, ts in templates(x, own_titles(t, s), u):
-                    for one in ts:
-                        ln.append(no)
-                        ti.append(tree.add(s, one, d))
-                keys.append(k)
-                docs.append(d)
-                sites.append(s)
-                nos.append(ln)
-                ids.append(ti)
-            yield pd.DataFrame(whole | {"key": keys, "doc": docs, "site": sites, "nos": nos, "ids": ids}, index=range(len(keys)))
-            if tree.leaves >= leaves:
-                yield from handed(tree)
-                tree = TemplateTree()
-        yield from handed(tree)
-
-    return src.mapInPandas(run, PARSED)
+            cols = [pa.array(c, t) for c, t in zip(zip(*part), (pa.string(), pa.string(), pa.int64(), pa.int64()))]
+            leaves = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), pa.StructArray.from_arrays(cols, ["site", "path", "leaf", "docs"]))
+            yield pa.RecordBatch.from_arrays([*[pa.nulls(1, t) for t in LINE_TYPES.values()], leaves], [*LINE_TYPES, "tree"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grown = TemplateTree()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                nos, ids = [], []
+                for d, s, u, t, x in zip(*(part.column(c).to_pylist() for c in ("doc", "site", "url", "title", "text"))):
+                    ln, ti = [], []
+                    for no, ts in templates(x, own_titles(t, s), u):
+                        for one in ts:
+                            ln.append(no)
+                            ti.append(grown.add(s, one, d))
+                    nos.append(ln)
+                    ids.append(ti)
+                cols = [part.column("key"), part.column("doc"), part.column("site"), pa.array(nos, LINE_TYPES["nos"]), pa.array(ids, LINE_TYPES["ids"]), pa.nulls(part.num_rows, TREE_TYPE)]
+                yield pa.RecordBatch.from_arrays(cols, [*LINE_TYPES, "tree"])
+                if grown.leaves >= leaves:
+                    yield from handed(grown)
+                    grown = TemplateTree()
+        yield from handed(grown)
+
+    return src.mapInArrow(run, PARSED)
 
 
 def merged(trees: DataFrame, docs: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
-    """(site, path, leaf, docs): the trees (site, path, leaf, docs) as one, with the leaves that enough of the site's `docs` (site, n) may have led to."""
+    """(site, path, leaf, docs): the trees (tree) as one, with the leaves that enough of the site's `docs` (site, n) may have led to."""
+    trees = trees.select(F.inline("tree"))
     one = trees.groupBy("site", "path", "leaf").agg(F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     return one.join(docs, "site").where(F.col("docs") >= F.col("n") * min_share).drop("n")
 
@@ -181,9 +187,9 @@ def repeated_lines(df: DataFrame, key: str = "extract_id", doc: str = "article_n
                    min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(key, line_no) of the lines whose template covers at least `min_docs` documents and `min_share` of its site's."""
     parsed = written(parse(df, key, doc, url, title, text), "site-lines")
-    rows = parsed.where("path IS NULL").select("key", "doc", "site", "nos", "ids")
+    rows = parsed.where("key IS NOT NULL").select("key", "doc", "site", "nos", "ids")
     docs = written(rows.select("site", "doc").distinct().groupBy("site").agg(F.count("*").alias("n")), "site-docs")
-    tree = merged(parsed.where("path IS NOT NULL").select("site", "path", "leaf", "docs"), docs, min_docs, min_share)
+    tree = merged(parsed.where("key IS NULL").select("tree"), docs, min_docs, min_share)
     tree = written(tree.groupBy("site").agg(F.collect_set("leaf").alias("leaves")), "site-trees")
     # lines go down their site's merged tree before they are told apart, so the many that end nowhere make no rows
     hits = rows.join(small(tree), "site").select("key", "doc", "site", F.expr("inline(filter(arrays_zip(nos, ids), x -> array_contains(leaves, x.ids)))"))

@@ -75,14 +75,14 @@ def test_trees_of_two_tasks_merge_a_slot(spark):
 
     titles = ["Old kettles", "New bread", "Far harbours", "Wet ropes", "Tall trees", "Low tide", "Red clay", "Dry stone", "Late rain"]
     df = spark.createDataFrame([one(i, t) for i, t in enumerate(titles)], SCHEMA).repartition(2, "article_no")
-    trees = S.parse(df, "extract_id", "article_no", "url", "title", "markdown").where("path IS NOT NULL").select("site", "path", "leaf", "docs")
-    rows = trees.where(F.col("docs") > 1).collect()
+    trees = S.parse(df, "extract_id", "article_no", "url", "title", "markdown").where("key IS NULL").select("tree")
+    rows = trees.select(F.inline("tree")).where("docs > 1").collect()
     assert len(rows) == 2 and len({(r.path, r.leaf) for r in rows}) == 1
     docs = spark.createDataFrame([("a.example", 9)], "site string, n long")
     got = S.merged(trees, docs).collect()
     assert [r.docs for r in got] == [9] and got[0].path == rows[0].path
     # a tree handed on after every few leaves merges to the same
-    early = S.parse(df, "extract_id", "article_no", "url", "title", "markdown", leaves=3).where("path IS NOT NULL").select("site", "path", "leaf", "docs")
+    early = S.parse(df, "extract_id", "article_no", "url", "title", "markdown", leaves=3).where("key IS NULL").select("tree")
     assert S.merged(early, docs).collect() == got
     found = {(r.extract_id, r.line_no) for r in S.repeated_lines(df).collect()}
     assert found == {(i, 1) for i in range(9)}
