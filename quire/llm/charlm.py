@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -46,6 +47,10 @@ class CharModel:
             self.add(t)
         self.total = sum(self.uni.values())
         self._memo: dict[str, float] = {}
+        self.mark = uuid.uuid4().hex  # names the model to the caches of workers, which outlive broadcasts
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_memo": {}}
 
     def add(self, text: str) -> None:
         t = _DIGIT.sub("0", _SPACE.sub(" ", text))

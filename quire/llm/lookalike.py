@@ -7,8 +7,10 @@
    finds the path with the best character bigram score, with a price for changing the script.
 4. Canonical composition.
 
-A character's look-alikes are a class, and classes don't overlap, so the form depends on the look
-alone: strings that look the same get the same form, and others different forms.
+The best path is the form, and strings look the same if their forms are equal. A character's
+look-alikes are a class, itself included, and classes don't overlap: tokens that look the same have
+the same lattice and thus the same best path, and tokens that differ in look have lattices without a
+common path. So the scores decide which spelling stands for a look, never whether two looks are one.
 
 NULL stays NULL; an empty string, or one of ignorable characters alone, becomes empty.
 """
@@ -22,9 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.charlm import CharModel, count_texts
+from quire.session import written
 
 #: Log-price of a change of script within a token.
 SWITCH = -6.0
+#: Buckets that the rows of one spelling are dealt to when pairs are made.
+SPREAD = 16
 
 # Characters drawn alike, a class each.
 CLASSES = [
@@ -107,23 +112,21 @@ class Form:
         return unicodedata.normalize("NFC", " ".join(self.token(t) if t else t for t in fold(s).split(" ")))
 
     def token(self, t: str) -> str:
-        # all spellings of a look share one key
-        key = "".join(CLASSES[_CLASS[c]][0] if c in _CLASS else c for c in t)
-        got = self.cache.get(key)
+        got = self.cache.get(t)
         if got is None:
-            got = self.viterbi(key)
+            got = self.viterbi([CLASSES[_CLASS[c]] if c in _CLASS else c for c in t])
             if len(self.cache) < self.CACHE:
-                self.cache[key] = got
+                self.cache[t] = got
         return got
 
-    def viterbi(self, key: str) -> str:
+    def viterbi(self, lattice: list[str]) -> str:
+        """The best path through the characters that each place may hold."""
         logp = self.model.logp
-        # state: (score, last script, path end); ties go to the earlier member of a class
+        # state: (score, last script, character, node before); ties go to the earlier member of a class
         layer = [(0.0, "", " ", None)]
-        for c in key:
-            k = _CLASS.get(c)
+        for place in lattice:
             now = []
-            for x in CLASSES[k] if k is not None else c:
+            for x in place:
                 s = script_of(x)
                 best = None
                 for node in layer:
@@ -145,7 +148,14 @@ def fit(df: DataFrame, text: str) -> CharModel:
     return count_texts(df, text, fold)
 
 
-_forms: dict[int, Form] = {}
+_forms: dict[str, Form] = {}
+
+
+def _form_of(model: CharModel) -> Form:
+    if model.mark not in _forms:
+        _forms.clear()
+        _forms[model.mark] = Form(model)
+    return _forms[model.mark]
 
 
 def add_form(df: DataFrame, model: CharModel, text: str, out: str) -> DataFrame:
@@ -154,24 +164,43 @@ def add_form(df: DataFrame, model: CharModel, text: str, out: str) -> DataFrame:
 
     @F.pandas_udf("string")
     def form(s: pd.Series) -> pd.Series:
-        if id(b) not in _forms:
-            _forms.clear()
-            _forms[id(b)] = Form(b.value)
-        f = _forms[id(b)]
+        f = _form_of(b.value)
         return s.map(lambda t: None if t is None else f(t))
 
     return df.withColumn(out, form(F.col(text)))
 
 
+def members(forms: DataFrame, by: list[str], key: str = "key", text: str = "text", form: str = "form") -> DataFrame:
+    """(by..., form, spelling, class_key, spelling_key, key): the rows whose look has several spellings.
+
+    `class_key` is the smallest key of the look and names its class, `spelling_key` that of the spelling,
+    which represents it. Rows of looks with one spelling are absent. NULL texts look like nothing.
+    """
+    rows = forms.where(F.col(text).isNotNull()).select(*by, F.col(form).alias("form"), F.col(text).alias("spelling"), F.col(key).alias("key")).distinct()
+    reps = rows.groupBy(*by, "form", "spelling").agg(F.min("key").alias("spelling_key"))
+    several = reps.groupBy(*by, "form").agg(F.min("spelling_key").alias("class_key"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(reps.join(several, [*by, "form"]), [*by, "form", "spelling"]).select(*by, "form", "spelling", "class_key", "spelling_key", "key")
+
+
+def linked(of: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., a, b), a < b: each pair of spellings of one look, by the keys that represent them; `of` comes from `members`."""
+    reps = of.where("key = spelling_key").select(*by, "form", "spelling", "spelling_key")
+    a = reps.select(*by, "form", F.col("spelling").alias("sa"), F.col("spelling_key").alias("a"))
+    b = reps.select(*by, "form", F.col("spelling").alias("sb"), F.col("spelling_key").alias("b"))
+    return a.join(b, [*by, "form"]).where("sa <> sb AND (a < b OR a = b AND sa < sb)").select(*by, "form", "sa", "sb")
+
+
 def equal_looking(forms: DataFrame, by: list[str], key: str = "key", text: str = "text", form: str = "form") -> DataFrame:
     """(by..., key_a, key_b), key_a < key_b: rows of different text but one form within equal `by` columns.
 
-    Only forms with at least two spellings are joined; rows that differ in nothing make no pairs.
-    NULL texts look like nothing. NULL in a `by` column makes no pairs.
+    Pairs of spellings, few for any look, are made first and then opened into pairs of rows, one side at
+    a time, so no task holds all pairs of a frequent look: the rows of a spelling are dealt to SPREAD
+    buckets, and each bucket meets the rows of the other spelling by itself. Rows that differ in
+    nothing make no pairs. NULL in a `by` column makes no pairs.
     """
-    rows = forms.where(F.col(text).isNotNull()).select(*by, F.col(key).alias("k"), F.col(text).alias("t"), F.col(form).alias("f")).distinct()
-    several = rows.groupBy(*by, "f").agg((F.min("t") != F.max("t")).alias("several")).where("several").drop("several")
-    rows = rows.join(several, [*by, "f"], "left_semi")
-    a = rows.select(*by, "f", F.col("k").alias("key_a"), F.col("t").alias("ta"))
-    b = rows.select(*by, "f", F.col("k").alias("key_b"), F.col("t").alias("tb"))
-    return a.join(b, [*by, "f"]).where("key_a < key_b AND ta <> tb").select(*by, "key_a", "key_b").distinct()
+    of = written(members(forms, by, key, text, form), "looks")
+    pairs = linked(of, by).withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    left = of.select(*by, "form", F.col("spelling").alias("sa"), F.col("key").alias("ka"), F.pmod(F.hash("key"), F.lit(SPREAD)).alias("_deal"))
+    right = of.select(*by, "form", F.col("spelling").alias("sb"), F.col("key").alias("kb"))
+    opened = pairs.join(left, [*by, "form", "sa", "_deal"]).join(right, [*by, "form", "sb"])
+    return opened.where("ka <> kb").select(*by, F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b")).distinct()

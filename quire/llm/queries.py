@@ -38,6 +38,11 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookalike.equal_looking(p3_forms(spark, sf_dir), ["field", "site"]).select("field", "key_a", "key_b")
 
 
+def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(field, site, form, spelling, class_key, spelling_key, key): membership in the looks with several spellings; pairs between classes' spellings follow from it."""
+    return lookalike.members(p3_forms(spark, sf_dir), ["field", "site"])
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fetch_id) of the fetches whose text is garbled by a wrong encoding."""
     model = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
@@ -132,7 +137,7 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spampages.page_shares(docs, spampages.fit(docs)).drop("text")
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p3_found": p3_found, "p3_forms": p3_forms, "p3_members": p3_members, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned, "p7_pack": p7_pack, "p7_report": p7_report, "p8_mix": p8_mix, "p8_shares": p8_shares, "p9_found": p9_found, "p9_shares": p9_shares}
 ORACLE: dict[str, str] = {
     "p1_found": "SELECT DISTINCT id FROM chunks JOIN chunk_profiles USING (profile) WHERE length(text) > max_chars",
 }

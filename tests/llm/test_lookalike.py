@@ -66,3 +66,25 @@ def test_letters_alike_in_ipa_greek_and_armenian():
     f = form()
     for a, b in [("gap", "ɡɑρ"), ("pain", "ραιո"), ("hun", "հսո"), ("gut", "ցυt")]:
         assert f(a) == f(b)
+
+
+def test_members_and_pairs_of_spellings(spark):
+    """Many rows of two spellings: one class, two representatives, one pair of spellings, all pairs of rows."""
+    f = form()
+    rows = [("x", i, "Hope" if i % 3 else "Hоpe") for i in range(60)] + [("x", 100, "Only")]
+    df = L.add_form(spark.createDataFrame(rows, "site string, key long, text string"), f.model, "text", "form")
+    of = L.members(df, ["site"])
+    got = of.collect()
+    assert len(got) == 60 and {r.class_key for r in got} == {0} and {r.spelling_key for r in got} == {0, 1}
+    assert L.linked(of, ["site"]).count() == 1
+    assert L.equal_looking(df, ["site"]).count() == 20 * 40
+
+
+def test_two_models_in_one_session(spark):
+    """Workers tell models apart, whatever addresses their broadcasts get."""
+    df = spark.createDataFrame([(1, "Rеp")], "key long, text string").repartition(1)
+    latin, greek = CharModel(["Rep rep"] * 50, seed=""), CharModel(["Ρερ Rεp ер"] * 50 + ["Rер"] * 500, seed="")
+    for _ in range(3):
+        a = L.add_form(df, latin, "text", "form").first().form
+        b = L.add_form(df, greek, "text", "form").first().form
+        assert a == L.Form(latin)("Rеp") and b == L.Form(greek)("Rеp") and a != b
