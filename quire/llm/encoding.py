@@ -1,23 +1,32 @@
 """Text garbled by a wrong character encoding: find it, and restore the original.
 
-A hidden Markov model labels the characters of every non-ASCII stretch of a text. One state is
-clean text; every other state is a pair (encoding the bytes were written in, encoding they were
-read in). A state emits a character through the inverse transform of its pair: the probability of
-a garbled stretch is that of the text the transform restores, under one character model fitted on
-clean text. Viterbi finds the best labelling, and each labelled span gets its state's inverse
-transform. U+FFFD, which stands for lost bytes, belongs to a loss state without inverse.
-
-ASCII characters read the same in all pairs, so stretches without other characters need no search.
-Texts garbled twice are labelled again after their first restoration.
+A hidden Markov model labels the characters of every stretch of a text that isn't plain ASCII. Its states:
+
+* clean text;
+* a pair (encoding the bytes were written in, encoding they were read in), which emits a character
+  through the pair's inverse transform, so the probability of a garbled stretch is that of the text
+  the transform restores, under one character model fitted on clean text. A "?" may stand for one
+  byte that an earlier reader had no character for;
+* a double pair: text of a pair, written as UTF-8 and read wrongly again;
+* loss, which emits U+FFFD and has no inverse.
+
+Viterbi finds the best labelling of a whole stretch, however long, and each labelled span gets its
+state's inverse transform. States more than BEAM behind the best are dropped; what all remaining
+paths share is put out as the search goes on, so memory follows the open part of a stretch.
+
+Character references to characters outside ASCII count as those characters: `&#195;&#169;` is garbled,
+`&eacute;` is not. ASCII characters read the same in all pairs, so stretches without others need no search.
+A restored text is labelled again until nothing is found; every restoration raises its score.
 """
 
 from __future__ import annotations
 
+import codecs
+import html
 import re
 from collections import Counter, OrderedDict
 
 import pandas as pd
-from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,36 +48,79 @@ RARE_PAIRS = [
     ("cp866", "cp1251"), ("iso-8859-5", "cp1251"), ("mac_cyrillic", "cp1251"), ("cp1252", "iso-8859-15"), ("iso-8859-15", "cp1252"), ("cp1252", "cp1250"), ("cp1250", "cp1252"),
     ("cp1252", "koi8-r"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("mac_roman", "cp1252"), ("cp437", "cp1252"), ("cp850", "cp1252"),
 ]
-#: Log-probabilities of entering a pair's state (of a rare pair, of two-byte writings read as single bytes), and of leaving.
-ENTER, RARE, WIDE, LEAVE = -9.0, -18.0, -14.0, -3.0
-#: Log-probability a character below which a clean stretch is tried as garbled twice.
-UNLIKELY = -9.0
-UTF8_READERS = [r for w, r in PAIRS if w == "utf-8"]
+#: Log-probabilities of entering a pair's state (of a rare pair, of two-byte writings read as single bytes, of a double pair), and of leaving.
+ENTER, RARE, WIDE, DOUBLE, LEAVE = -9.0, -18.0, -14.0, -18.0, -3.0
+#: Log-probabilities of a lost byte, and of "?" standing for one.
+LOSS, HOLE = -12.0, -3.0
+#: What it costs to take a byte for lost that the reader has a character for.
+HELD = -4.0
 #: What a change of state costs between two letters outside ASCII, as encodings seldom change inside a word,
 #: and what a restored Cyrillic letter costs beside a Latin one.
 JOIN = -6.0
-#: The price of entering for a pair that has garbled a text in at least SEVERAL places already, used in restoring.
+#: The price of entering for a pair that has garbled a text in at least SEVERAL places already, or that its bytes speak for.
 AGAIN, SEVERAL = -2.0, 3
-#: Times a text is labelled and restored.
-PASSES = 3
-#: The longest stretch one search covers; it bounds memory on texts without any blank.
-WINDOW = 1000
+#: What entering a pair costs where another was left with nothing in between.
+SWITCH = -20.0
+#: States this far behind the best, in natural logarithms, are dropped.
+BEAM = 30.0
+#: Characters after which the part all paths share is put out.
+SETTLE = 4096
+#: The longest stretch whose labelling is kept for its next occurrence.
+REMEMBER = 40
 #: Encodings tried on bytes that their label doesn't explain.
 READINGS = ["utf-8", "gb18030", "cp1251", "koi8-r", "euc_jp", "shift_jis", "cp1252"]
-_RUN = re.compile(r"[^\x00-\x7f]+(?:[\x21-\x7e]{1,2}[^\x00-\x7f]+)*")
-#: Sequences in which an earlier reader put "?" for a byte it couldn't map.
-_HOLES = re.compile("\u00e2\\?[\u20ac\u00a2\u2122\u0153\u02dc\u201c\u201d\u2026\u2020\u2021\u00a6\u00b0]|[\u00d0\u00d1]\\?[\u0080-\u00bf\u00d0\u00d1\u2013-\u2122\u0152-\u02dc]")
-_CJK_PUNCT = re.compile(r"(?<=[。！？；])")
-
-
-def windows(run: str, most: int = WINDOW) -> list[str]:
-    """A long stretch in windows of bounded length, cut behind a character that is no letter where there is one."""
-    out = []
-    while len(run) > most:
-        at = next((i for i in range(most, most * 3 // 4, -1) if not run[i - 1].isalpha()), most)
-        out.append(run[:at])
-        run = run[at:]
-    return [*out, run]
+_RUN = re.compile(r"[^\x00-\x7f]+(?:[\x21-\x7e]{1,2}[^\x00-\x7f]+)*\??")
+_REFERENCE = re.compile(r"&(?:#[0-9]{2,7}|#[xX][0-9a-fA-F]{2,6}|[A-Za-z][A-Za-z0-9]{1,31});")
+#: Texts that needn't be searched at all: ASCII without references.
+SEARCHED = r"[^\x00-\x7f]|&#?[A-Za-z0-9]+;"
+
+
+def unreferenced(text: str) -> tuple[str, list[int] | None]:
+    """The text with references to characters outside ASCII as those characters, and where each character begins in `text` (None: at its own place)."""
+    if "&" not in text:
+        return text, None
+    out, at, last = [], [], 0
+    for m in _REFERENCE.finditer(text):
+        c = html.unescape(m.group())
+        if len(c) != 1 or c < "\x80":
+            continue
+        a = m.start()
+        out.append(text[last:a])
+        at.extend(range(last, a))
+        out.append(c)
+        at.append(a)
+        last = m.end()
+    if not last:
+        return text, None
+    out.append(text[last:])
+    at.extend(range(last, len(text) + 1))
+    return "".join(out), at
+
+
+_CHARSET = re.compile(r"charset\s*=\s*[\"']?([^\s\"';,]+)", re.I)
+
+
+def evidence(text: str, content: bytes | None, content_type: str | None) -> frozenset[str]:
+    """The pairs that the bytes speak for: they are UTF-8 beyond ASCII, but the text isn't what they say.
+
+    The reader is the one that the type names; without a known one the pairs of all readers count.
+    """
+    if content is None or text.isascii():
+        return frozenset()
+    try:
+        meant = content.decode("utf-8")
+    except UnicodeDecodeError:
+        return frozenset()
+    if meant == text or meant.isascii():
+        return frozenset()
+    m = _CHARSET.search(content_type or "")
+    names = {r for w, r in PAIRS + RARE_PAIRS if w == "utf-8"}
+    try:
+        told = codecs.lookup(m.group(1)).name if m else ""
+    except LookupError:
+        told = ""
+    alike = {r for r in names if codecs.lookup(r).name == told or told == "iso8859-1" and r in ("cp1252", "iso-8859-1")}
+    return frozenset(f"utf-8>{r}" for r in alike or names)
 
 
 class Codec:
@@ -79,6 +131,8 @@ class Codec:
         self.single = self._table()
         self.back = {c: bytes([b]) for b, c in enumerate(self.single)} if self.single else None
         self.memo: dict = {}
+        # no author's text has controls, or frames and hard blanks inside words
+        self.firsts = [None if "\x7f" <= c <= "\xa0" or "\u2500" <= c <= "\u25a0" else (c, 1) for c in self.single] if self.single else None
 
     def _table(self) -> list[str] | None:
         if self.name in ("utf-8", "gb18030", "shift_jis", "euc_jp", "big5", "cp949"):
@@ -106,10 +160,8 @@ class Codec:
 
     def first(self, b: bytes, at: int) -> tuple[str, int] | None:
         """The character that begins at b[at:], with its length in bytes."""
-        if self.single:
-            c = self.single[b[at]]
-            # no author's text has controls, or frames and hard blanks inside words
-            return None if "\x7f" <= c <= "\xa0" or "\u2500" <= c <= "\u25a0" else (c, 1)
+        if self.firsts:
+            return self.firsts[b[at]]
         lead = b[at]
         if lead < 0x80:
             return chr(lead), 1
@@ -137,6 +189,79 @@ class Codec:
         return None
 
 
+class Twice:
+    """UTF-8 bytes of a text that was itself written in `writer` and read as `reader`."""
+
+    single = firsts = None
+
+    def __init__(self, utf8: Codec, writer: Codec, reader: Codec):
+        self.utf8, self.writer, self.reader = utf8, writer, reader
+
+    def first(self, b: bytes, at: int) -> tuple[str, int] | None:
+        raw, end = b"", at
+        while end < len(b) and len(raw) < 4:
+            got = self.utf8.first(b, end)
+            back = None if got is None else self.reader.to_bytes(got[0])
+            if back is None:
+                return None
+            raw, end = raw + back, end + got[1]
+            inner = self.writer.first(raw, 0)
+            if inner is not None and inner[1] == len(raw):
+                return inner[0], end - at
+            if self.writer.single is not None:
+                return None
+        return None
+
+
+class Node:
+    """A step of a path: score, last character of the text it restores, the step before, what it does and with what."""
+
+    __slots__ = ("score", "last", "before", "kind", "what")
+
+    def __init__(self, score: float, last: str, before: Node | None, kind: int, what: object):
+        self.score, self.last, self.before, self.kind, self.what = score, last, before, kind, what
+
+
+CLEAN, LOST, IN, STEP, OUT = range(5)
+
+
+class Written:
+    """The text and the pairs of a settled path, put out piece by piece."""
+
+    def __init__(self, run: str):
+        self.run = run
+        self.out: list[str] = []
+        self.used: list[str] = []
+        self.span: list[str] = []
+        self.start = 0
+
+    def take(self, node: Node) -> None:
+        """Everything up to `node`, which becomes the begin of the path."""
+        path = []
+        at: Node | None = node
+        while at is not None and at.kind is not None:
+            path.append(at)
+            at = at.before
+        for p in reversed(path):
+            if p.kind == CLEAN:
+                self.out.append(p.what)
+            elif p.kind == LOST:
+                self.out.append("\ufffd")
+                self.used.append("loss")
+            elif p.kind == IN:
+                self.span, self.start = [], p.what
+            elif p.kind == STEP:
+                self.span.append(p.what)
+            else:
+                names, end = p.what
+                text = "".join(self.span)
+                self.out.append(text)
+                if text != self.run[self.start : end]:
+                    self.used.extend(names)
+        node.before = None
+        node.kind = None
+
+
 class Labeller:
     """The hidden Markov model over one character model; keeps what it found for repeated stretches."""
 
@@ -144,194 +269,220 @@ class Labeller:
 
     def __init__(self, model: CharModel):
         self.model = model
-        codecs = {n: Codec(n) for p in PAIRS + RARE_PAIRS for n in p}
-        self.pairs = [(codecs[w], codecs[r], WIDE if cost == ENTER and w in ("gb18030", "euc_jp", "shift_jis") else cost) for ps, cost in ((PAIRS, ENTER), (RARE_PAIRS, RARE)) for w, r in ps]
-        self.readers = list({r.name: r for _, r, _ in self.pairs}.values())
+        codecs_ = {n: Codec(n) for p in PAIRS + RARE_PAIRS for n in p}
+        self.utf8 = codecs_["utf-8"]
+        # states by reader: [(writer, names of the pairs to undo, price)], those that begin with UTF-8 apart
+        self.readers: dict[str, tuple[Codec, list, list]] = {}
+        for pairs, cost in ((PAIRS, ENTER), (RARE_PAIRS, RARE)):
+            for w, r in pairs:
+                price = WIDE if cost == ENTER and w in ("gb18030", "euc_jp", "shift_jis") else cost
+                self.readers.setdefault(r, (codecs_[r], [], []))[1 if w == "utf-8" else 2].append((codecs_[w], (f"{w}>{r}",), price))
+        for outer in [r for w, r in PAIRS if w == "utf-8"]:
+            for w, r in PAIRS:
+                price = DOUBLE + (WIDE - ENTER if w in ("gb18030", "euc_jp", "shift_jis") else 0.0)
+                self.readers[outer][1].append((Twice(self.utf8, codecs_[w], codecs_[r]), (f"utf-8>{outer}", f"{w}>{r}"), price))
         self.cache: OrderedDict = OrderedDict()
-        self.again: frozenset[str] = frozenset()
-        han = {c for c, n in model.uni.items() if n >= 2 and ("　" <= c <= "鿿" or "！" <= c <= "｠")}
-        self.plain_cjk = re.compile("[" + "".join(re.escape(c) for c in sorted(han)) + "]{2,}") if han else re.compile("(?!)")
+        han = "".join(re.escape(c) for c in sorted({c for c, n in model.uni.items() if n >= 2 and ("\u3000" <= c <= "\u9fff" or "\uff01" <= c <= "\uff60")})) or "\x00"
+        self.plain_cjk = re.compile(f"[{han}]{{2,}}")
+        #: Known ideographs and kana in a row are clean; the rest of a stretch is searched apart from them.
+        self.sure = re.compile(f"([{han}]{{8,}})")
 
-    def stretch(self, prev: str, run: str, nxt: str) -> tuple[str, tuple[str, ...]] | None:
+    def stretch(self, prev: str, run: str, nxt: str, favoured: frozenset[str] = frozenset()) -> tuple[str, tuple[str, ...]] | None:
         """(restored, pairs used) of one stretch, or None where it is clean."""
-        key = (prev, run, nxt, self.again)
+        if len(run) > REMEMBER:
+            return self._viterbi(prev, run, nxt, favoured)
+        key = (prev, run, nxt, favoured)
         if key in self.cache:
             return self.cache[key]
-        out = self._viterbi(prev, run, nxt)
-        if out and "loss" not in out[1]:
-            out = self._twice(prev, run, out, self.model.score(out[0], prev) + ENTER)
-        elif out is None and len(run) <= 40 and (plain := self.model.score(run, prev)) < UNLIKELY * len(run):
-            out = self._twice(prev, run, None, plain)
-        if len(run) <= 40:
-            if len(self.cache) >= self.CACHE:
-                self.cache.popitem(last=False)
-            self.cache[key] = out
+        out = self._viterbi(prev, run, nxt, favoured)
+        if len(self.cache) >= self.CACHE:
+            self.cache.popitem(last=False)
+        self.cache[key] = out
         return out
 
-    def _twice(self, prev: str, run: str, best: tuple[str, tuple[str, ...]] | None, score: float) -> tuple[str, tuple[str, ...]] | None:
-        """A stretch that was UTF-8 read wrongly twice, if that explains it better than `best` with its score."""
-        for a in UTF8_READERS:
+    def _filled(self, reader: Codec, b: bytes, at: int, prev: str) -> tuple[str, int] | None:
+        """A UTF-8 character at b[at:] one of whose later bytes a "?" stands for: the likeliest behind `prev`, bytes that `reader` has no character for before others."""
+        lead = b[at]
+        n = 2 if 0xC2 <= lead <= 0xDF else 3 if 0xE0 <= lead <= 0xEF else 0
+        piece = b[at : at + n]
+        if not n or len(piece) < n or piece[1:].count(b"?") != 1:
+            return None
+        hole = piece.index(b"?")
+        best = None
+        for x in range(0x80, 0xC0):
             try:
-                once = run.encode(a).decode("utf-8")
-            except (UnicodeEncodeError, UnicodeDecodeError):
+                u = (piece[:hole] + bytes([x]) + piece[hole + 1 :]).decode("utf-8")
+            except UnicodeDecodeError:
                 continue
-            for b in UTF8_READERS:
-                try:
-                    text = once.encode(b).decode("utf-8")
-                except (UnicodeEncodeError, UnicodeDecodeError):
-                    continue
-                s = self.model.score(text, prev) + 2 * ENTER
-                if text != once and s > score:
-                    best, score = (text, (f"utf-8>{a}", f"utf-8>{b}")), s
-        return best
+            v = self.model.logp(prev, u) + (0.0 if reader.single[x] == chr(x) else HELD)
+            if best is None or v > best[0]:
+                best = (v, u)
+        return best and (best[1], n)
 
-    def _viterbi(self, prev: str, run: str, nxt: str) -> tuple[str, tuple[str, ...]] | None:
-        logp, n = self.model.logp, len(run)
+    def _viterbi(self, prev: str, run: str, nxt: str, favoured: frozenset[str]) -> tuple[str, tuple[str, ...]] | None:
+        logp, n, utf8 = self.model.logp, len(run), self.utf8
         letter = [c > "\x7f" and c.isalpha() for c in run]
-        # clean[i] = (score, last character, back pointer) before run[i]
-        clean: list = [None] * (n + 1)
-        clean[0] = (0.0, prev, None)
-        coded, live = {}, []
-        for r in self.readers:
+        groups = []
+        for r, eights, others in self.readers.values():
             parts = [r.to_bytes(c) for c in run]
+            gaps = {i for i, p in enumerate(parts) if p is None}
+            if len(gaps) == n:
+                continue
             offs, o = [0], 0
             for p in parts:
                 o += len(p) if p is not None else 1
                 offs.append(o)
-            coded[r.name] = (b"".join(p if p is not None else b"\x00" for p in parts), offs, {i for i, p in enumerate(parts) if p is None}, {x: i for i, x in enumerate(offs)})
-        for w, r, cost in self.pairs:
-            b, offs, gaps, at = coded[r.name]
-            if len(gaps) < n:
-                live.append((w, r, b, offs, gaps, at, {}, AGAIN if f"{w.name}>{r.name}" in self.again else cost))
-        loss = [None] * (n + 1)
+            whole = b"".join(p if p is not None else b"\x00" for p in parts)
+            groups.append((whole, offs, gaps, {x: i for i, x in enumerate(offs)}, eights, others, r if r.single is not None and b"?" in whole else None, {}))
+        written = Written(run)
+        clean = {0: Node(0.0, prev, None, None, None)}
         for i in range(n):
-            here = clean[i]
-            c = run[i]
-            # the loss state swallows U+FFFD
-            if c == "�":
-                step = (here[0] - 12.0, " ", ("loss", i))
-                if clean[i + 1] is None or step[0] > clean[i + 1][0]:
-                    clean[i + 1] = step
-            inside = i > 0 and letter[i - 1] and letter[i]
-            s = here[0] + logp(here[1], c)
-            if clean[i + 1] is None or s > clean[i + 1][0]:
-                clean[i + 1] = (s, c, ("clean", i))
-            for k, (w, r, b, offs, gaps, at, f, cost) in enumerate(live):
+            here, c = clean.pop(i), run[i]
+            best = here.score
+            for g in groups:
+                start = g[1][i]
+                for f in g[7].values():
+                    node = f.get(start)
+                    if node is not None and node.score > best:
+                        best = node.score
+            least = best - BEAM
+            s = here.score + logp(here.last, c)
+            node = Node(here.score + LOSS, " ", here, LOST, None) if c == "\ufffd" and here.score + LOSS > s else Node(s, c, here, CLEAN, c)
+            old = clean.get(i + 1)
+            if old is None or node.score > old.score:
+                clean[i + 1] = node
+            base = here.score + (JOIN if i and letter[i - 1] and letter[i] else 0.0) + (SWITCH if here.kind == OUT else 0.0)
+            opens = base + (AGAIN if favoured else ENTER) >= least
+            for whole, offs, gaps, at, eights, others, holed, live in groups:
                 if i in gaps:
+                    live.clear()
                     continue
                 start, stop = offs[i], offs[i + 1]
-                enter = here[0] + cost + (JOIN if inside else 0.0)
-                old = f.get(start)
-                if old is None or enter > old[0]:
-                    f[start] = (enter, here[1], ("in", i))
-                for o in range(start, stop):
-                    cur = f.get(o)
-                    if cur is None:
-                        continue
-                    got = w.first(b, o)
-                    if got is None:
-                        continue
-                    u, m = got
-                    t = cur[0] + logp(cur[1], u)
-                    e = o + m
-                    mixed = w.single is not None and "\u0400" <= u <= "\u04ff"
-                    if mixed and cur[1].isascii() and cur[1].isalpha():
-                        t += JOIN
-                    if any(j in gaps for j in range(i, min(n, i + m)) if offs[j] < e):
-                        continue
-                    old = f.get(e)
-                    if old is None or t > old[0]:
-                        f[e] = (t, u, ("step", o))
-                    j = at.get(e)
-                    if j is not None:
-                        v = t + LEAVE + (JOIN if j < n and letter[j] and letter[j - 1] else 0.0)
-                        after = run[j] if j < n else nxt
-                        if mixed and after.isascii() and after.isalpha():
-                            v += JOIN
-                        if clean[j] is None or v > clean[j][0]:
-                            clean[j] = (v, u, ("out", k, e))
-        # ways to end: the right context must follow
-        out, used, i = [], [], n
-        back = clean[n]
-        while i > 0:
-            kind = back[2][0]
-            if kind == "clean":
-                i = back[2][1]
-                out.append(run[i])
-            elif kind == "loss":
-                i = back[2][1]
-                out.append("�")
-                used.append("loss")
-            else:
-                w, r, b, offs, gaps, at, f, _ = live[back[2][1]]
-                o = back[2][2]
-                span = []
-                node = f[o]
-                while node[2][0] == "step":
-                    span.append(node[1])
-                    node = f[node[2][1]]
-                i = node[2][1]
-                text = "".join(reversed(span))
-                if text == run[i : at[o]]:
-                    out.append(text)
-                else:
-                    out.append(text)
-                    used.append(f"{w.name}>{r.name}")
-            back = clean[i]
-        if not used:
+                if opens:
+                    some = utf8.first(whole, start) if eights else None
+                    for state in (*eights, *others) if some else (*eights[:1], *others) if holed and eights else others:
+                        enter = base + (AGAIN if favoured and favoured.issuperset(state[1]) else state[2])
+                        if enter < least:
+                            continue
+                        f = live.get(state)
+                        if f is None:
+                            live[state] = {start: Node(enter, here.last, here, IN, i)}
+                        else:
+                            old = f.get(start)
+                            if old is None or enter > old.score:
+                                f[start] = Node(enter, here.last, here, IN, i)
+                for state in list(live):
+                    w, names, _ = state
+                    f = live[state]
+                    for o in range(start, stop):
+                        cur = f.pop(o, None)
+                        if cur is None or cur.score < least:
+                            continue
+                        got, t = w.first(whole, o), cur.score
+                        if got is None:
+                            got = self._filled(holed, whole, o, cur.last) if holed and w is utf8 else None
+                            if got is None:
+                                continue
+                            t += HOLE
+                        u, m = got
+                        if len(u) == 1:
+                            t += logp(cur.last, u)
+                        else:
+                            t += self.model.score(u, cur.last)
+                        e = o + m
+                        if gaps and any(j in gaps for j in range(i, min(n, i + m)) if offs[j] < e):
+                            continue
+                        mixed = w.single is not None and "\u0400" <= u <= "\u04ff"
+                        if mixed and cur.last.isascii() and cur.last.isalpha():
+                            t += JOIN
+                        node = Node(t, u[-1], cur, STEP, u)
+                        old = f.get(e)
+                        if old is None or t > old.score:
+                            f[e] = node
+                        j = at.get(e)
+                        if j is not None:
+                            v = t + LEAVE + (JOIN if j < n and letter[j] and letter[j - 1] else 0.0)
+                            after = run[j] if j < n else nxt
+                            if mixed and after.isascii() and after.isalpha():
+                                v += JOIN
+                            old = clean.get(j)
+                            if old is None or v > old.score:
+                                clean[j] = Node(v, u[-1], node, OUT, (names, j))
+                    if not f:
+                        del live[state]
+            if i % SETTLE == SETTLE - 1:
+                self._settle(written, [*clean.values(), *(x for g in groups for f in g[7].values() for x in f.values())])
+        written.take(clean[n])
+        if not written.used:
             return None
-        return "".join(reversed(out)), tuple(reversed(used))
-
-    def garbled(self, text: str) -> bool:
+        return "".join(written.out), tuple(written.used)
+
+    @staticmethod
+    def _settle(written: Written, live: list[Node]) -> None:
+        """Put out the part that the paths to all `live` nodes share."""
+        order: dict[int, int] = {}
+        trunk = []
+        at: Node | None = live[0]
+        while at is not None:
+            order[id(at)] = len(trunk)
+            trunk.append(at)
+            at = at.before
+        deepest = 0
+        for node in live[1:]:
+            at = node
+            while id(at) not in order:
+                at = at.before
+            deepest = max(deepest, order[id(at)])
+        if trunk[deepest].kind is not None:
+            written.take(trunk[deepest])
+
+    def garbled(self, text: str, favoured: frozenset[str] = frozenset()) -> bool:
         """Whether any character belongs to another state than clean."""
-        return "\ufffd" in text or bool(_HOLES.search(text)) or bool(self.once(text, first=True)[1])
+        return bool(self.once(text, favoured, first=True)[1])
 
-    def once(self, text: str, first: bool = False) -> tuple[str, list[str]]:
+    def once(self, text: str, favoured: frozenset[str] = frozenset(), first: bool = False) -> tuple[str, list[str]]:
         """One labelling: (restored text, pairs used). first: stop at the first garbled stretch."""
+        shown, at = unreferenced(text)
         out, used, last = [], [], 0
-        for m in _RUN.finditer(text):
+        for m in _RUN.finditer(shown):
             run, a = m.group(), m.start()
-            prev = text[a - 1] if a else " "
+            prev = shown[a - 1] if a else " "
             z = m.end()
-            nxt = text[z] if z < len(text) else " "
+            nxt = shown[z] if z < len(shown) else " "
             if self.plain_cjk.fullmatch(run) and not (prev.isalpha() and prev.isascii()):
                 continue
-            parts = [run] if len(run) <= 40 else [w for p in _CJK_PUNCT.split(run) for w in windows(p)]
+            parts = self.sure.split(run)
             for k, p in enumerate(parts):
                 if not p:
                     continue
-                if len(parts) > 1 and self.plain_cjk.fullmatch(p):
-                    prev, a = p[-1], a + len(p)
-                    continue
-                got = self.stretch(prev, p, nxt if k == len(parts) - 1 else " ")
+                got = None if k % 2 else self.stretch(prev, p, nxt if k == len(parts) - 1 else parts[k + 1][0], favoured)
                 if got:
                     if first:
                         return text, list(got[1])
-                    out.append(text[last:a])
+                    begin, end = (a, a + len(p)) if at is None else (at[a], at[a + len(p)])
+                    out.append(text[last:begin])
                     out.append(got[0])
                     used.extend(got[1])
-                    last = a + len(p)
+                    last = end
                 prev, a = p[-1], a + len(p)
         if not used:
             return text, used
         out.append(text[last:])
         return "".join(out), used
 
-    def repair(self, text: str) -> tuple[str, list[str]]:
-        """(restored text, pairs used), labelled up to PASSES times."""
+    def repair(self, text: str, favoured: frozenset[str] = frozenset()) -> tuple[str, list[str]]:
+        """(restored text, pairs used), labelled until no pair is found; each time the score rises, so this ends."""
         used: list[str] = []
-        for _ in range(PASSES):
-            fixed, u = self.once(text)
-            often = frozenset(p for p, n in Counter(u).items() if n >= SEVERAL and p != "loss")
+        while True:
+            fixed, u = self.once(text, favoured)
+            often = frozenset(p for p, n in Counter(u).items() if n >= SEVERAL and p != "loss") - favoured
             if often:
-                self.again = often
-                fixed, u = self.once(text)
-                self.again = frozenset()
-            text = fixed
+                fixed, u = self.once(text, favoured | often)
             used += u
-            if not set(u) - {"loss"}:
-                break
-        return text, used
+            if not set(u) - {"loss"} or fixed == text:
+                return fixed, used
+            # what spoke for a pair in the garbled text says nothing of the restored one
+            text, favoured = fixed, frozenset()
 
     def read(self, content: bytes, text: str, used: list[str]) -> str:
         """The best reading of the bytes, where they hold more than `text`; every character outside ASCII of the whole page has a say."""
@@ -355,15 +506,15 @@ class Labeller:
         return best
 
 
-_worker: dict[int, Labeller] = {}
+_worker: dict[str, Labeller] = {}
 
 
-def _labeller(b: Broadcast) -> Labeller:
-    key = id(b)
-    if key not in _worker:
+def labeller(model: CharModel) -> Labeller:
+    """The labeller of a model, kept by the worker."""
+    if model.mark not in _worker:
         _worker.clear()
-        _worker[key] = Labeller(b.value)
-    return _worker[key]
+        _worker[model.mark] = Labeller(model)
+    return _worker[model.mark]
 
 
 def fit(clean: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> CharModel:
@@ -371,23 +522,27 @@ def fit(clean: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> CharM
     return CharModel(sample_texts(clean, key, text, rows))
 
 
-def find_garbled(df: DataFrame, model: CharModel, text: str = "text") -> DataFrame:
+def _or_null(df: DataFrame, name: str | None, kind: str) -> F.Column:
+    return F.col(name).cast(kind) if name else F.lit(None).cast(kind)
+
+
+def find_garbled(df: DataFrame, model: CharModel, text: str = "text", content: str | None = None, content_type: str | None = None) -> DataFrame:
     """The rows of `df` whose text the model labels as garbled, with the same columns.
 
-    NULL and empty texts aren't garbled.
+    NULL and empty texts aren't garbled. `content` and `content_type`, where they are named, are evidence.
     """
     b = df.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def garbled(s: pd.Series) -> pd.Series:
-        lab = _labeller(b)
-        return s.map(lambda t: bool(t) and lab.garbled(t)).astype(bool)
+    def garbled(s: pd.Series, raw: pd.Series, kind: pd.Series) -> pd.Series:
+        lab = labeller(b.value)
+        return pd.Series([bool(t) and lab.garbled(t, evidence(t, r, k)) for t, r, k in zip(s, raw, kind)], dtype=bool)
 
-    # texts of ASCII alone are clean in every pair and needn't leave the JVM
-    return df.where(F.col(text).rlike(r"[^\x00-\x7f]")).where(garbled(F.col(text)))
+    # other texts are clean in every pair and needn't leave the JVM
+    return df.where(F.col(text).rlike(SEARCHED)).where(garbled(F.col(text), _or_null(df, content, "binary"), _or_null(df, content_type, "string")))
 
 
-def repair(df: DataFrame, model: CharModel, text: str = "text", content: str = "content", out: str = "restored", pairs: str = "pairs") -> DataFrame:
+def repair(df: DataFrame, model: CharModel, text: str = "text", content: str | None = "content", content_type: str | None = None, out: str = "restored", pairs: str = "pairs") -> DataFrame:
     """`df` with the restored text and the distinct pairs whose transforms were undone.
 
     Clean texts come back as they are with no pairs; NULL stays NULL. Where the bytes hold more
@@ -395,23 +550,25 @@ def repair(df: DataFrame, model: CharModel, text: str = "text", content: str = "
     `content` may be None if there are no bytes. Existing columns named `out` or `pairs` are replaced.
     """
     b = df.sparkSession.sparkContext.broadcast(model)
+    searched = re.compile(SEARCHED)
 
-    def one(lab: Labeller, t: str | None, raw: bytes | None) -> tuple[str | None, list[str]]:
-        if not t or t.isascii():
+    def one(lab: Labeller, t: str | None, raw: bytes | None, kind: str | None) -> tuple[str | None, list[str]]:
+        if not t or not searched.search(t):
             return t, []
-        fixed, used = lab.repair(t)
+        raw = None if raw is None else bytes(raw)
+        fixed, used = lab.repair(t, evidence(t, raw, kind))
         if used and raw is not None:
-            again = lab.read(bytes(raw), fixed, used)
+            again = lab.read(raw, fixed, used)
             if again != fixed:
                 fixed, more = lab.repair(again)
                 used = used + more
         return fixed, sorted(set(used))
 
     @F.pandas_udf("restored string, pairs array<string>")
-    def fix(s: pd.Series, raw: pd.Series) -> pd.DataFrame:
-        lab = _labeller(b)
-        return pd.DataFrame([one(lab, t, r) for t, r in zip(s, raw)], columns=["restored", "pairs"])
+    def fix(s: pd.Series, raw: pd.Series, kind: pd.Series) -> pd.DataFrame:
+        lab = labeller(b.value)
+        return pd.DataFrame([one(lab, *row) for row in zip(s, raw, kind)], columns=["restored", "pairs"])
 
-    got = fix(F.col(text), F.col(content) if content else F.lit(None).cast("binary"))
+    got = fix(F.col(text), _or_null(df, content, "binary"), _or_null(df, content_type, "string"))
     rest = [c for c in df.columns if c not in (out, pairs)]
     return df.select(*rest, got.alias("_fix")).select(*rest, F.col("_fix.restored").alias(out), F.col("_fix.pairs").alias(pairs))

@@ -46,14 +46,15 @@ def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fetch_id) of the fetches whose text is garbled by a wrong encoding."""
     model = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
-    return encoding.find_garbled(table(spark, sf_dir, "fetches").select("fetch_id", "text"), model).select("fetch_id").distinct()
+    rows = table(spark, sf_dir, "fetches").select("fetch_id", "text", "content", "content_type")
+    return encoding.find_garbled(rows, model, content="content", content_type="content_type").select("fetch_id").distinct()
 
 
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fetch once with its restored text and the encoding pairs that were undone."""
     model = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
-    rows = table(spark, sf_dir, "fetches").select("fetch_id", "content", "text")
-    return encoding.repair(rows, model).select("fetch_id", "restored", F.concat_ws(" ", "pairs").alias("pairs")).distinct()
+    rows = table(spark, sf_dir, "fetches").select("fetch_id", "content", "content_type", "text")
+    return encoding.repair(rows, model, content_type="content_type").select("fetch_id", "restored", F.concat_ws(" ", "pairs").alias("pairs")).distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,6 +38,12 @@ def test_twice_garbled(lab, a, b):
     assert lab.repair(t)[0] == "prüft während"
 
 
+def test_twice_garbled_by_different_writings(lab):
+    t = CLEAN[3]
+    bad = t.encode("cp1251").decode("cp1252").encode().decode("gb18030")
+    assert lab.repair(bad)[0] == t
+
+
 def test_unusual_accents_are_clean(lab):
     assert not lab.garbled("Copper Ferrieš at the Façade") and not lab.garbled("Ferrieš")
 
@@ -56,14 +62,53 @@ def test_bytes_are_read_by_the_whole_page(lab, head):
     assert lab.read(raw, raw.decode("utf-8", "replace"), ["loss"]) == page
 
 
-def test_character_references_and_capitals_are_clean(lab):
-    for t in ["caf&Atilde;&copy; &#195;&#169;", "PROMOÇÃO", "RÈGLES ÉCRITES", "5 €"]:
+def test_correct_references_and_capitals_are_clean(lab):
+    for t in ["caf&eacute; &#233; &#x4e2d; &amp; &lt;", "PROMOÇÃO", "RÈGLES ÉCRITES", "5 €", "&unknown;"]:
         assert not lab.garbled(t)
 
 
-def test_windows_put_together_are_the_text():
-    t = "äö" * 4000 + "," + "ü" * 999
-    assert "".join(E.windows(t)) == t and max(map(len, E.windows(t))) <= E.WINDOW
+def test_garbled_references_are_restored(lab):
+    t = "It&#226;&#128;&#153;s the caf&Atilde;&copy; &amp; caf&eacute;"
+    assert lab.repair(t)[0] == "It’s the café &amp; caf&eacute;"
+    shown, at = E.unreferenced("a&#233;b &amp; &eacute;")
+    assert shown == "aéb &amp; é" and [at[i] for i in (0, 1, 2, len(shown))] == [0, 1, 7, 23]
+
+
+def test_holes_are_filled(lab):
+    t = "Старый дом стоит у реки, и читатель открывает письмо."
+    raw = t.encode()
+    bad = "".join("?" if b in (0x81, 0x8D, 0x8F, 0x90, 0x9D) else bytes([b]).decode("cp1252") for b in raw)
+    assert "?" in bad and E.Labeller(CharModel([*CLEAN, t] * 40)).repair(bad)[0] == t
+    assert not lab.garbled("Где? Ñandú? À? «été?»")
+
+
+@pytest.mark.parametrize("written,read", [("utf-8", "iso-8859-1"), ("gb18030", "cp1251")])
+def test_stretches_longer_than_what_is_settled_at_once(lab, written, read):
+    """One stretch without blanks, put out in parts; its context is never cut."""
+    t = CLEAN[4] * 250
+    bad = t.encode(written).decode(read)
+    assert len(bad) > 2 * E.SETTLE and lab.repair(bad)[0] == t
+
+
+def test_a_page_of_100_000_characters(lab):
+    """Every place counts, the last as the first."""
+    head = "plain words and more of them, line by line.\n" * 2400
+    assert len(head) > 100_000 and not lab.garbled(head + "café")
+    bad = head + "It’s the café’s façade".encode().decode("cp1252")
+    assert lab.garbled(bad) and lab.repair(bad)[0] == head + "It’s the café’s façade"
+
+
+def test_twice_garbled_has_no_limit_of_length(lab):
+    """A stretch without blanks, of any length, may be garbled twice."""
+    t = "ж".join(["хлеб"] * 60)
+    bad = t.encode().decode("iso-8859-1").encode().decode("iso-8859-1")
+    assert E.Labeller(CharModel([t] * 50)).repair(bad)[0] == t
+
+
+def test_bytes_are_evidence():
+    assert E.evidence("cafÃ©", "café".encode(), "text/html; charset=ISO-8859-1") == {"utf-8>cp1252", "utf-8>iso-8859-1"}
+    assert E.evidence("café", "café".encode(), "text/html") == frozenset() == E.evidence("cafÃ©", None, None)
+    assert len(E.evidence("cafÃ©", "café".encode(), "text/html; charset=nonsense")) > 5
 
 
 def test_very_long_text(lab):
