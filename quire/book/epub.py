@@ -11,52 +11,114 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.book.typeset import chapter, counts, css, esc, page
+from quire.functions.text import cn_number
 from quire.functions.url import MIME_BY_EXT
 
-#: A book is one file, read by one person; more chapters than this aren't put into one.
+#: Chapters in one file; more make further volumes.
 MAX_CHAPTERS = 20_000
+_SRC = re.compile(r'src="([^"]+)"')
 CONTAINER = '<?xml version="1.0"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>\n'
 
 
-def publish(spine: DataFrame, chapters: DataFrame, path: str, book: dict, theme: str = "classic", cover_svg: str = "", images: dict[str, bytes] | None = None) -> dict:
+class Volume:
+    """One EPUB file, written as its pages come."""
+
+    def __init__(self, path: str, book: dict, theme: str, images: dict[str, bytes | Path], lang: str, no: int):
+        self.path, self.book, self.images, self.lang = path, book, images, lang
+        self.title = str(book.get("title") or "") + (f" {no}" if no > 1 else "")
+        self.files: list[tuple[str, str, str]] = []  # name, title, kind
+        self.held: list[str] = []
+        self.chapters = self.words = 0
+        self.z = zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED)
+        self.z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
+        self.z.writestr("META-INF/container.xml", CONTAINER)
+        self.z.writestr("OEBPS/Style/main.css", css(theme))
+
+    def add(self, name: str, title: str, kind: str, text: str) -> None:
+        self.z.writestr(f"OEBPS/Text/{name}", text)
+        self.files.append((name, title, kind))
+        for src in _SRC.findall(text):
+            self.hold(PurePosixPath(src).name)
+
+    def hold(self, image: str) -> None:
+        """An image is put in where it is first shown."""
+        if image in self.images and image not in self.held:
+            data = self.images[image]
+            if isinstance(data, Path):
+                self.z.write(data, f"OEBPS/Images/{image}")
+            else:
+                self.z.writestr(f"OEBPS/Images/{image}", data)
+            self.held.append(image)
+
+    def close(self) -> None:
+        note = f'<section class="copyright-page"><p>{esc(self.title)}</p><p>{counts(0, self.chapters, self.words)}</p><p>{esc(self.book.get("rights"))}</p></section>'
+        self.add("copyright.xhtml", "版权信息", "front", page("版权信息", note, self.lang))
+        self.z.writestr("OEBPS/Text/nav.xhtml", nav(self.files, self.lang))
+        self.z.writestr("OEBPS/content.opf", package(self.files, self.held, self.book | {"title": self.title}, self.lang))
+        self.z.close()
+
+
+def heading(kind: str, title: str, label: str, size: str, lang: str) -> str:
+    """A part's or section's own page: its number, a rule, its title and what it holds."""
+    no = f'<p class="{kind}-no">{esc(label)}</p><hr/>' if label else ""
+    return page(title, f'<section class="{kind}-page">{no}<h1>{esc(title)}</h1>{f"<p>{size}</p>" if size else ""}</section>', lang)
+
+
+def sized(spine: DataFrame, chapters: DataFrame) -> DataFrame:
+    """The spine with markdown and words of chapters, and n_sections, n_articles, n_words and label of part and section pages."""
+    text = chapters.select("url", F.col("markdown"), F.coalesce("word_count", F.lit(0)).alias("words"))
+    rows = spine.join(text, "url", "left")
+    own = rows.where("kind = 'chapter'").groupBy("part_no", "section_no").agg(F.count("*").alias("n_articles"), F.sum("words").alias("n_words"))
+    part = own.groupBy("part_no").agg(F.count("*").alias("n_sections"), F.sum("n_articles").alias("n_articles"), F.sum("n_words").alias("n_words")).withColumn("section_no", F.lit(0).cast("long")).withColumn("kind", F.lit("part"))
+    size = part.unionByName(own.withColumn("n_sections", F.lit(0).cast("long")).withColumn("kind", F.lit("section")))
+    label = F.when(F.col("kind") == "part", F.concat(F.lit("第"), cn_number(F.col("part_no")), F.lit("部"))).otherwise("")
+    return rows.join(size, ["kind", "part_no", "section_no"], "left").withColumn("label", label)
+
+
+def publish(spine: DataFrame, chapters: DataFrame, path: str, book: dict, theme: str = "classic", cover_svg: str = "", images: dict[str, bytes | Path] | None = None, most: int = MAX_CHAPTERS) -> dict:
     """Write the book of `spine` (see toc.spine) and `chapters` (url, title, markdown, word_count) to `path`.
 
-    A file is written by the driver, chapter by chapter; the number of chapters is checked first.
+    A file is written by the driver, page by page, holding one at a time. After `most` chapters a further
+    volume begins at `path` with its number, under the part and section that are open.
     """
-    n = spine.where("kind = 'chapter'").limit(MAX_CHAPTERS + 1).count()
-    if n > MAX_CHAPTERS:
-        raise ValueError(f"more than {MAX_CHAPTERS} chapters in one book")
-    lang = book.get("language", "zh-CN")
-    rows = spine.join(chapters.select("url", F.col("markdown"), F.coalesce("word_count", F.lit(0)).alias("words")), "url", "left").orderBy("spine_no")
-    files: list[tuple[str, str, str]] = []  # name, title, kind
-    words = 0
-    images = images or {}
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
-        z.writestr("META-INF/container.xml", CONTAINER)
-        z.writestr("OEBPS/Style/main.css", css(theme))
-
-        def add(name: str, title: str, kind: str, text: str) -> None:
-            z.writestr(f"OEBPS/Text/{name}", text)
-            files.append((name, title, kind))
-
+    lang, images = book.get("language", "zh-CN"), images or {}
+    rows = sized(spine, chapters).orderBy("spine_no")
+    done: list[Volume] = []
+    head: dict[str, tuple[str, str, str]] = {}
+
+    def begin() -> Volume:
+        no, p = len(done) + 1, Path(path)
+        v = Volume(path if no == 1 else str(p.with_name(f"{p.stem}-{no}{p.suffix}")), book, theme, images, lang, no)
         if cover_svg:
-            add("cover.xhtml", "Cover", "front", page("Cover", cover_svg, lang))
-        head = f'<section class="titlepage"><h1>{esc(book.get("title"))}</h1><p>{esc(book.get("author"))}</p></section>'
-        add("titlepage.xhtml", str(book.get("title", "")), "front", page(str(book.get("title", "")), head, lang))
-        for i, r in enumerate(rows.toLocalIterator(), 1):
-            if r.kind == "chapter":
-                words += r.words or 0
-                add(f"chap{i:05d}.xhtml", r.title or "", "chapter", chapter(r.title or "", r.markdown or "", lang=lang))
-            else:
-                add(f"{r.kind}{i:05d}.xhtml", r.title or "", r.kind, page(r.title or "", f'<section class="{r.kind}-page"><h1>{esc(r.title)}</h1></section>', lang))
-        note = f'<section class="copyright-page"><p>{esc(book.get("title"))}</p><p>{counts(0, n, words)}</p><p>{esc(book.get("rights"))}</p></section>'
-        add("copyright.xhtml", "版权信息", "front", page("版权信息", note, lang))
-        for name, content in images.items():
-            z.writestr(f"OEBPS/Images/{name}", content)
-        z.writestr("OEBPS/Text/nav.xhtml", nav(files, lang))
-        z.writestr("OEBPS/content.opf", package(files, list(images), book, lang))
-    return {"path": str(path), "chapters": n, "words": words, "bytes": Path(path).stat().st_size}
+            v.add("cover.xhtml", "Cover", "front", page("Cover", cover_svg, lang))
+        front = f'<section class="titlepage"><h1>{esc(v.title)}</h1><p>{esc(book.get("author"))}</p></section>'
+        v.add("titlepage.xhtml", v.title, "front", page(v.title, front, lang))
+        if no > 1:
+            for name, (title, kind, text) in head.items():
+                v.add(name, title, kind, text)
+        done.append(v)
+        return v
+
+    v = begin()
+    for i, r in enumerate(rows.toLocalIterator(), 1):
+        title = r.title or ""
+        if r.kind == "chapter":
+            if v.chapters == most:
+                v.close()
+                v = begin()
+            v.chapters += 1
+            v.words += r.words or 0
+            v.add(f"chap{i:05d}.xhtml", title, "chapter", chapter(title, r.markdown or "", lang=lang))
+        else:
+            name, text = f"{r.kind}{i:05d}.xhtml", heading(r.kind, title, r.label, counts(r.n_sections or 0, r.n_articles or 0, r.n_words or 0), lang)
+            head = {k: x for k, x in head.items() if r.kind == "section" and x[1] == "part"} | {name: (title, r.kind, text)}
+            v.add(name, title, r.kind, text)
+    for name in images:
+        if not any(name in w.held for w in done):
+            v.hold(name)
+    v.close()
+    sizes = [Path(w.path).stat().st_size for w in done]
+    return {"path": str(path), "chapters": sum(w.chapters for w in done), "words": sum(w.words for w in done), "bytes": sum(sizes), "volumes": [w.path for w in done]}
 
 
 def nav(files: list[tuple[str, str, str]], lang: str) -> str:

@@ -166,11 +166,11 @@ def pack(spark: SparkSession, archive: Archive, path: str, by: str = "auto", the
         row = spark.createDataFrame([(book.get("title", ""), book.get("subtitle", ""), book.get("description", ""), n, words)], "t string, s string, d string, n long, w long")
         style = row.select(cover.recommend_style(F.col("t"), F.col("s"), F.col("d"), F.col("n"), F.col("w"))).first()[0]
     assets = archive.root / "assets"
-    pics = {p.name: p.read_bytes() for p in assets.iterdir()} if assets.is_dir() else {}
+    pics = {p.name: p for p in assets.iterdir()} if assets.is_dir() else {}
     out = epub.publish(written(toc.spine(plan, ch), "spine"), ch, path, book, theme, cover.svg(book.get("title", ""), book.get("author", ""), book.get("subtitle", ""), style), pics)
     lines = toc.index_lines(plan, archive.table(spark, "articles", ARTICLE)).orderBy("part_no", "section_no", "idx")
     (archive.root / "index.md").write_text("\n".join([f"# {book.get('title', '')}", "", f"- **作者**：{book.get('author') or '—'}", f"- **章节数**：{n}", f"- **总字数**：约 {words:,}", f"- **排版主题**：{theme}", "", "## 目录", "", *(r.line for r in lines.toLocalIterator())]) + "\n", "utf-8")
-    return out | {"problems": epub.validate(path)}
+    return out | {"problems": [x for p in out["volumes"] for x in epub.validate(p)]}
 
 
 def summary(report: dict, packed: dict, archive: Archive) -> dict:

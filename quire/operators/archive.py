@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.book import frontmatter
+from quire.session import written
 
 ARTICLE = T.StructType([
     T.StructField("idx", T.IntegerType()), T.StructField("id", T.StringType()), T.StructField("title", T.StringType()), T.StructField("file", T.StringType()),
@@ -27,6 +28,8 @@ ARTICLE = T.StructType([
     T.StructField("translated", T.BooleanType()), T.StructField("translation_file", T.StringType()), T.StructField("fetch_status", T.StringType()), T.StructField("notes", T.StringType()),
     T.StructField("grp", T.StringType()), T.StructField("subgroup", T.StringType()),
 ])
+#: What a copy holds beside the tables.
+FOLDERS = ("content", "assets", "reports", "metadata")
 # Keys of the book's metadata.
 BOOK_KEYS = ["title", "subtitle", "author", "language", "source_language", "publisher", "description", "rights", "series", "subject", "identifier", "date", "cover"]
 
@@ -64,13 +67,41 @@ class Archive:
         self.replace("articles", upsert(self.table(spark, "articles"), new))
 
     def clone_to(self, spark: SparkSession, dest: str) -> Archive:
-        """A copy of tables and metadata, with a note of where it comes from."""
+        """A copy with tables, texts, assets, reports and metadata, and a note of where it comes from."""
         new = Archive(dest)
         for p in (self.root / "tables").glob("*"):
             new.replace(p.name, self.table(spark, p.name))
+        for folder in FOLDERS:
+            self.copy_files(spark, folder, new.root)
         new._write("metadata/book.json", self.book | {"source_archive": str(self.root)})
         return new
 
+    def _paths(self, spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame | None:
+        """(file): the files below a folder, by their place in the archive; None if there is no such folder. Listed without being read."""
+        if not (self.root / folder).is_dir():
+            return None
+        found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(str(self.root / folder))
+        base = f"file:{self.root.resolve()}/"
+        return found.select(F.replace(F.col("path"), F.lit(base), F.lit("")).alias("file"))
+
+    def copy_files(self, spark: SparkSession, folder: str, dest: Path) -> None:
+        """Copy a folder's files, by the executors."""
+        names, root, to = self._paths(spark, folder), str(self.root), str(dest)
+        if names is None:
+            return
+
+        def copy(part: Iterator) -> None:
+            import shutil
+
+            for r in part:
+                path = os.path.join(to, r.file)
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                tmp = f"{path}.{uuid.uuid4().hex[:8]}.tmp"
+                shutil.copyfile(os.path.join(root, r.file), tmp)
+                os.replace(tmp, path)
+
+        names.foreachPartition(copy)
+
     # -- metadata
 
     @property
@@ -92,24 +123,11 @@ class Archive:
         return str(self.root / path)
 
     def write_plan(self, plan: DataFrame) -> None:
-        """The plan as a table and as nested JSON lines, one a part.
-
-        If a part is too large for that, the former folder goes, as it would disagree with the table, and a stage record says so.
-        """
-        import shutil
-
-        from quire.plans.grouping import nested
+        """The plan as a table and as nested JSON lines in order, one a section, or one a piece of a long section."""
+        from quire.plans.grouping import pieces
 
         self.replace("plan", plan)
-        groups = self.root / "metadata" / "groups"
-        try:
-            tree = nested(plan)
-        except ValueError as e:
-            if groups.exists():
-                shutil.rmtree(groups)
-            self.record_stage("plan", {"groups": "not written", "reason": str(e)})
-            return
-        tree.orderBy("part_no").drop("part_no").coalesce(1).write.mode("overwrite").json(str(groups))
+        pieces(plan).orderBy("part_no", "section_no", "start").write.mode("overwrite").json(str(self.root / "metadata" / "groups"))
 
     def read_plan(self, spark: SparkSession) -> DataFrame | None:
         """The plan, or None if there is none or it can't be read."""
@@ -121,7 +139,7 @@ class Archive:
 
     def write_urls(self, plan: DataFrame) -> None:
         """The plan's addresses in order, one a line."""
-        plan.orderBy("part_no", "section_no", "pos").select("url").coalesce(1).write.mode("overwrite").text(str(self.root / "metadata" / "urls"))
+        plan.orderBy("part_no", "section_no", "pos").select("url").write.mode("overwrite").text(str(self.root / "metadata" / "urls"))
 
     # -- content
 
@@ -151,14 +169,20 @@ class Archive:
         return found.select(F.replace(F.col("path"), F.lit(base), F.lit("")).alias("file"), F.decode("content", "UTF-8").alias("body"))
 
     def remove_orphans(self, spark: SparkSession) -> int:
-        """Delete content files that no article names; how many."""
+        """Delete content files that no article names, by the executors; how many."""
         from quire.operators.articles import orphan_files
 
-        n = 0
-        for r in orphan_files(self.content_files(spark).select("file"), self.table(spark, "articles")).toLocalIterator():
-            (self.root / r.file).unlink(missing_ok=True)
-            n += 1
-        return n
+        root, names = str(self.root), self._paths(spark, "content", "*.md")
+        if names is None:
+            return 0
+        lost = written(orphan_files(names, self.table(spark, "articles")).select("file"), "orphans")
+
+        def remove(part: Iterator) -> None:
+            for r in part:
+                Path(root, r.file).unlink(missing_ok=True)
+
+        lost.foreachPartition(remove)
+        return lost.count()
 
     def read_content(self, spark: SparkSession) -> DataFrame:
         """Articles with `body`: the translation's where it exists, else the original's, else ''."""

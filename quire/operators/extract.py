@@ -39,13 +39,19 @@ def extract_page(html: str | bytes | None, url: str = "", adapter=None, hook: Ca
 
     size = len(S.text_of(root))
     S.split_breaks(root)
-    own = {"title": "", "author": "", "date": ""}
+
+    def told() -> dict[str, str]:
+        if adapter is None:
+            return {"title": "", "author": "", "date": ""}
+        return {"title": attempt("title", lambda: adapter.title_from(root), ""), "author": attempt("author", lambda: adapter.author_from(root), ""), "date": attempt("date", lambda: adapter.date_from(root, ""), "")}
+
+    early = told()
     if adapter is not None:
         attempt("站点适配器预处理失败", lambda: adapter.preprocess(root), None)
     if hook is not None:
         attempt("自定义预处理失败", lambda: hook(root), None)
-    if adapter is not None:
-        own = {"title": attempt("title", lambda: adapter.title_from(root), ""), "author": attempt("author", lambda: adapter.author_from(root), ""), "date": attempt("date", lambda: adapter.date_from(root, ""), "")}
+    # what the adapter's own steps have laid open counts, else what they took away
+    own = {k: v or early[k] for k, v in told().items()}
     S.prune(root)
     if adapter is None and size > SHRINK_FROM and len(S.text_of(root)) < SHRINK * size:
         notes.append("清洗后正文大幅缩短，请人工抽查是否误删")

@@ -25,6 +25,8 @@ PLAN = ["part_no", "part_title", "part_slug", "section_no", "section_title", "se
 MAX_PARTS = 10_000
 #: The most urls a part may have in nested form.
 MAX_NESTED = 200_000
+#: Urls in one line of a nested file.
+PIECE = 10_000
 
 
 def _date(c: str = "date") -> Column:
@@ -181,6 +183,15 @@ def nested(plan: DataFrame, most: int = MAX_NESTED) -> DataFrame:
     return s.groupBy("part_no", F.col("part_title").alias("title"), F.col("part_slug").alias("slug")).agg(subs.alias("subgroups"))
 
 
+def pieces(plan: DataFrame, most: int = PIECE) -> DataFrame:
+    """(part_no, title, slug, section_no, start, subgroups): one row a section, with at most `most` of its urls from `start` on; longer ones have several."""
+    at = F.floor((F.col("pos") - 1) / most)
+    urls = F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"])
+    s = plan.groupBy("part_no", "part_title", "part_slug", "section_no", "section_title", "section_slug", (at * most + 1).alias("start")).agg(urls.alias("urls"))
+    sub = F.array(F.struct(F.col("section_title").alias("title"), F.col("section_slug").alias("slug"), "urls"))
+    return s.select("part_no", F.col("part_title").alias("title"), F.col("part_slug").alias("slug"), "section_no", "start", sub.alias("subgroups"))
+
+
 def flat(groups: DataFrame) -> DataFrame:
     """The plan of nested groups (part_no, title, slug, subgroups, and urls where a part has no sections)."""
     own = F.array(F.struct(F.lit("").alias("title"), F.lit("").alias("slug"), F.col("urls").alias("urls"))) if "urls" in groups.columns else F.lit(None)

@@ -283,6 +283,27 @@ def q_group_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     return TX.by_category(table(spark, sf_dir, "categories"), table(spark, sf_dir, "posts")).select("site", "part_no", "section_no", "pos", "url")
 
 
+#: Slugs of parts and sections that come first, in this order.
+_WANTED, _WANTED_SECTIONS = ["reviews", "projects"], ["archive", "notes", "projects"]
+
+
+def _at(slugs: list[str], slug: str) -> str:
+    return f"coalesce(list_position({slugs!r}, {slug}), 0)"
+
+
+@query(_DEPTH + _TOP + _PRIORITY + _PICK + f""", r AS (SELECT pick.site, pick.id, p.url, p.date, pick.top, pick.category, tc.slug AS part_slug, steps,
+    CASE WHEN {_at(_WANTED, "tc.slug")} > 0 THEN 0 ELSE 1 END AS pl, CASE WHEN {_at(_WANTED, "tc.slug")} > 0 THEN {_at(_WANTED, "tc.slug")} ELSE pick.top END AS po,
+    CASE WHEN steps = 0 THEN 2 WHEN {_at(_WANTED_SECTIONS, "c.slug")} > 0 THEN 0 ELSE 1 END AS sl, CASE WHEN steps = 0 THEN 0 WHEN {_at(_WANTED_SECTIONS, "c.slug")} > 0 THEN {_at(_WANTED_SECTIONS, "c.slug")} ELSE category END AS so,
+    CASE WHEN steps = 0 THEN 0 ELSE category END AS sc
+  FROM pick JOIN {_POSTS} p ON p.id = pick.id JOIN c ON c.id = pick.category JOIN c tc ON tc.id = pick.top WHERE steps = 0 OR c.parent = pick.top)
+SELECT site, dense_rank() OVER (PARTITION BY site ORDER BY pl, po, top) AS part_no, part_slug, dense_rank() OVER (PARTITION BY site, top ORDER BY sl, so, sc) AS section_no,
+  row_number() OVER (PARTITION BY site, top, sl, so, sc ORDER BY date, id) AS pos, url FROM r""")
+def q_theme_order_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The category plan with explicit orders of parts and sections; what they don't name comes behind, by id."""
+    plan = TX.by_category(table(spark, sf_dir, "categories"), table(spark, sf_dir, "posts"), theme_order=_WANTED, section_order=_WANTED_SECTIONS)
+    return plan.select("site", "part_no", "part_slug", "section_no", "pos", "url")
+
+
 def _category_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(TX.by_category(table(spark, sf_dir, "categories"), table(spark, sf_dir, "posts")), "plan")
 
@@ -555,7 +576,7 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def q_prepare_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Translation chunks of every extract."""
-    return _chunks(spark, sf_dir).drop("vault")
+    return _chunks(spark, sf_dir).drop("first", "vault")
 
 
 @query()

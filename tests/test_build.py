@@ -72,14 +72,35 @@ def test_plan_and_nothing(spark, items, tmp_path):
     assert (none.fetched, none.written, none.articles_total) == (0, 0, 0)
 
 
-def test_plan_too_large_to_nest_leaves_no_old_groups(spark, tmp_path, monkeypatch):
+def test_long_sections_are_written_in_pieces(spark, tmp_path):
     row = "part_no long, part_title string, part_slug string, section_no long, section_title string, section_slug string, pos long, url string"
-    plan = spark.createDataFrame([(1, "P", "p", 1, "S", "s", i, f"u{i}") for i in range(3)], row)
-    ar, real = Archive(str(tmp_path / "a")), G.nested
-    ar.write_plan(plan.where("pos < 2"))
-    assert (tmp_path / "a/metadata/groups").is_dir() and not ar._read("metadata/stages.json", [])
-    monkeypatch.setattr(G, "nested", lambda p: real(p, 2))
+    plan = spark.createDataFrame([(1, "P", "p", 1, "S", "s", i, f"u{i}") for i in range(1, 8)], row)
+    ar = Archive(str(tmp_path / "a"))
     ar.write_plan(plan)
-    assert not (tmp_path / "a/metadata/groups").exists() and ar.read_plan(spark).count() == 3
-    last = ar._read("metadata/stages.json", [])[-1]
-    assert (last["stage"], last["groups"]) == ("plan", "not written") and "3 urls" in last["reason"]
+    lines = [json.loads(x) for f in sorted((tmp_path / "a/metadata/groups").glob("*.json")) for x in f.read_text().splitlines()]
+    assert [x["subgroups"][0]["urls"] for x in lines] == [[f"u{i}" for i in range(1, 8)]] and ar.read_plan(spark).count() == 7
+    got = G.pieces(plan, 3).orderBy("start").collect()
+    assert [(r.start, r.subgroups[0].urls) for r in got] == [(1, ["u1", "u2", "u3"]), (4, ["u4", "u5", "u6"]), (7, ["u7"])]
+
+
+def test_strict_translation_keeps_the_texts_of_untranslated_articles(spark, items, tmp_path):
+    ar = Archive(str(tmp_path / "a"), {"title": "T"})
+    B.fetch_stage(spark, ar, items.where("seq < 4"), transport, delay=0, jitter=0, images=True)
+    before = {r.id: r.body for r in ar.read_content(spark).collect()}
+    assert all(len(b) > 300 for b in before.values())
+    # a translator that loses marks and paragraphs has problems everywhere
+    tr, report = B.translate(spark, ar, str(tmp_path / "t"), lambda t: "x", strict=True)
+    assert report.where("size(problems) > 0").count() == 3
+    assert {r.id: r.body for r in tr.read_content(spark).collect()} == before
+    assert (tmp_path / "t/assets/i.png").read_bytes() == (tmp_path / "a/assets/i.png").read_bytes() and (tmp_path / "t/reports/quality-report.json").exists()
+    assert tr.book["source_archive"] == str(tmp_path / "a") and tr.book["title"] == "T"
+
+
+def test_copied_names_are_taken_as_they_are(spark, tmp_path):
+    ar = Archive(str(tmp_path / "a"))
+    for n in ("a b.md", "50%25+x.md", "ü.md"):
+        (tmp_path / "a/content").mkdir(exist_ok=True)
+        (tmp_path / "a/content" / n).write_text(n)
+    ar.copy_files(spark, "content", tmp_path / "c")
+    assert sorted(p.name for p in (tmp_path / "c/content").iterdir()) == sorted(("a b.md", "50%25+x.md", "ü.md"))
+    assert ar.remove_orphans(spark) == 3 and not list((tmp_path / "a/content").iterdir())

@@ -7,7 +7,7 @@ from quire.html.dom import parse
 from quire.html.markdown import Writer
 from quire.html.xpath import select
 from quire.operators import extract as X
-from quire.sources.adapters import ConfigAdapter, Registry, TableEssays, load
+from quire.sources.adapters import ConfigAdapter, Registry, load, table_essays
 
 
 def md(html, base="https://x.y/p/", **kw):
@@ -129,7 +129,7 @@ def test_adapters(tmp_path):
 def test_failing_hook_leaves_a_note_and_table_essays():
     got = X.extract_page(page(LONG), hook=lambda r: 1 / 0)
     assert any("ZeroDivisionError" in n for n in got["notes"])
-    e = TableEssays(["e.example"], "Jo")
+    e = table_essays(["e.example"], "Jo")
     html = page('<table><tr><td width=435><img alt="The Title" src=t.gif>March 2009<br><br>' + "Words about it [1] here. " * 30 + "<br><br>[1] Note one.<br><br>[2] Note two.</td></tr></table>")
     got = X.extract_page(html, "https://e.example/x.html", e)
     assert (got["title"], got["author"], got["published_at"]) == ("The Title", "Jo", "2009-03") and "[^1]" in got["markdown"]
@@ -140,3 +140,12 @@ def test_extract_table(spark):
     got = {r.url: r for r in X.extract(spark.createDataFrame(rows, "url string, html string").withColumn("title", F.lit("clash"))).collect()}
     assert got["https://a.b/1"].published_at == "2020-05-06" and got["https://a.b/1"].lang == "en" and got["https://a.b/1"].word_count > 80 and got["https://a.b/1"].notes == []
     assert got["https://a.b/2"].confidence < 0.5 and len(got["https://a.b/2"].notes) == 2
+
+
+def test_essay_dates_and_images():
+    e = table_essays(["e.example"])
+    assert e.date_from(parse(""), "2004\n\ntext") == "2004-01" and e.date_from(parse(""), "text\n2004") == "" and e.date_from(parse(""), "in May 1999 or so") == "1999-05"
+    r = parse('<table><tr><td><img alt="Title here" src=a><img src=/spacer.gif><img src=real.png alt=x><map><area></map></table><table><tr><td> </table>')
+    assert e.title_from(r) == "Title here"
+    e.preprocess(r)
+    assert [i.get("src") for i in r.find("img")] == ["real.png"] and len(list(r.find("table"))) == 1 and not any(r.find("map"))

@@ -142,14 +142,17 @@ def test_hierarchy_of_nothing(spark):
     assert h.paths().count() == 0 and h.cycles.count() == 0 and h.descendants().count() == 0
 
 
-def test_row_numbers(spark):
+@pytest.mark.parametrize("few", [0, 1000])
+def test_row_numbers(spark, few):
     df = spark.range(500).selectExpr("id", "CASE WHEN id < 300 THEN NULL ELSE id % 3 END AS g", "xxhash64(id) AS k")
-    got = {(r.g, r.k): r.rn for r in row_numbers(df, ["g"], [("k", "desc")]).collect()}
+    got = {(r.g, r.k): r.rn for r in row_numbers(df.repartition(7), ["g"], [("k", "desc")], few=few).collect()}
     want = {}
     for g in (None, 0, 1, 2):
         for n, k in enumerate(sorted((r.k for r in df.collect() if r.g == g), reverse=True), 1):
             want[g, k] = n
-    assert got == want and row_numbers(df.limit(0), [], ["id"]).count() == 0
+    assert got == want and row_numbers(df.limit(0), [], ["id"], few=few).count() == 0
+    assert [r.rn for r in row_numbers(df, [], ["id"], few=few).orderBy("id").collect()] == list(range(1, 501))
+
 
 
 def test_unique_slugs_against_brute_force(spark):
