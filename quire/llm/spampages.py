@@ -2,12 +2,14 @@
 
 A page is cut into lines, long lines into sentences. A hidden Markov model with the states prose,
 link list, tag list and menu labels them in order; a page is spam if more than half of its
-characters lie in lines of the other three states. Emissions are naive Bayes over the unit's words
-and over a few shape features; they are fitted on a bounded sample of pages, first on units whose
-shape settles the state, then by Viterbi training on the whole sample.
+characters lie in lines of the other three states. Emissions are naive Bayes over the unit's words,
+with weights of their own for each state, and over a few shape features. They are fitted on a bounded
+sample of pages by Viterbi training: units whose shape speaks for a state begin it, later rounds
+label all units by the model, with those shapes as a prior of limited weight. How much many words of
+one unit count is fitted on units held out.
 
-Nothing in the model names a language: words, or pairs of characters in scripts without blanks,
-get their weights from the sample.
+Nothing in the model names a language or a word: words, or pairs of characters in scripts without
+blanks, get their weights from the sample.
 
 Nulls and empty or blank texts are not spam (share 0). Texts of any length are read whole.
 """
@@ -43,8 +45,8 @@ ENDS, CLOSERS = frozenset(".!?。！？…:："), "\"'”’»)）」』*_]"
 SEPARATORS = re.compile("[,;|·•/、，；>]")
 _FENCE = re.compile(r"^\s*(```|~~~)")
 _BREAK = re.compile(r"<br\s*/?>", re.I)
-#: Openings: clock time or date, quantity, bullet, term of a glossary, quotation, question or answer, heading.
-_LEAD = re.compile(r"(\[?\d{1,4}[:.\-/]\d{2}\b)|([-*+]?\s*\d+(?:[.,/]\d+)?\s*(?:g|kg|mg|ml|cl|dl|l|cm|mm|oz|lb|tsp|tbsp|EL|TL|cups?|г|мл|克|毫升|グラム)\b|[-*+]?\s*\d+\s*(?:克|毫升|グラム))|([-*+] )|(\*\*[^*]+\*\*\s*[:：–—-])|(> )|(#{1,6} )")
+#: Openings: clock time or date, number with a word of up to three letters, bullet, term of a glossary, quotation, heading.
+_LEAD = re.compile(r"(\[?\d{1,4}[:.\-/]\d{2}\b)|([-*+]?\s*\d+(?:[.,/]\d+)?\s*[^\W\d_]{1,3}(?![^\W\d_]))|([-*+] )|(\*\*[^*]+\*\*\s*[:：–—-])|(> )|(#{1,6} )")
 _PRICE = re.compile(r"\d+[.,]\d{2}\b")
 LONG = 160
 
@@ -131,8 +133,8 @@ def features(text: str) -> list[tuple[int, list[str], tuple[int, ...] | None]]:
     return [(len(s), w, None if code else shape(s, w, often)) for (s, code), w in zip(us, ws)]
 
 
-def settled(w: list[str], f: tuple[int, ...]) -> int | None:
-    """The state that a unit's shape alone settles, or None."""
+def hinted(w: list[str], f: tuple[int, ...]) -> int | None:
+    """The state that a unit's shape alone speaks for, or None."""
     link, tag, end, sep, rep, size, price, own, lead = f
     if link == 3 and len(w) <= 2:
         return LINKS
@@ -140,7 +142,7 @@ def settled(w: list[str], f: tuple[int, ...]) -> int | None:
         return TAGS
     if link == 0 and size == 2 and (own == 0 or own == 1 and rep >= 3 or not end and rep >= 3):
         return TAGS
-    if lead in (1, 2, 6) and link == 0 and not price:
+    if lead in (1, 6) and link == 0 and not price:
         return PROSE
     if link == 0 and not end and sep == 3 and size <= 1 and rep == 0 and not lead:
         return MENU
@@ -150,27 +152,47 @@ def settled(w: list[str], f: tuple[int, ...]) -> int | None:
 
 
 class Weights(dict):
-    """Words to weights; 0 for unknown ones."""
+    """Words to their weights in each state; none for unknown ones."""
 
-    def __missing__(self, key: str) -> float:
-        return 0.0
+    NONE = (0.0,) * len(STATES)
+
+    def __missing__(self, key: str) -> tuple[float, ...]:
+        return self.NONE
 
 
 class Model:
     """Emissions and transitions, in logarithms."""
 
     CLIP, CODE = 3.0, (0.0, -30.0, -30.0, -30.0)
+    #: How much a hint counts while training, and the powers of a unit's number of words that are tried as its words' weight.
+    HINT, POWERS = 3.0, (0.0, 0.25, 0.5, 0.75, 1.0)
 
     def __init__(self, pages: list[list]):
+        self.power = 0.5
         self.fit(pages)
 
     def fit(self, pages: list[list]) -> None:
-        labels = [[PROSE if f is None else settled(w, f) for _, w, f in page] for page in pages]
-        self.estimate(pages, labels)
+        hints = [[PROSE if f is None else hinted(w, f) for _, w, f in page] for page in pages]
+        self.power = self.best_power(pages, hints)
+        self.estimate(pages, hints)
         for _ in range(ROUNDS):
-            # what shape settles stays settled, so the states keep their meaning
-            found = [self.label(page) for page in pages]
-            self.estimate(pages, [[f if k is None else k for f, k in zip(fs, ks)] for fs, ks in zip(found, labels)])
+            self.estimate(pages, [self.label(page, own) for page, own in zip(pages, hints)])
+
+    def best_power(self, pages: list[list], hints: list[list]) -> float:
+        """The power under which words alone best tell the hinted units of every other page, learned on the rest."""
+        self.estimate(pages[::2], hints[::2])
+        held = [(w, h) for page, hs in zip(pages[1::2], hints[1::2]) for (_, w, f), h in zip(page, hs) if f is not None and h is not None and w]
+        known = [(self.evidence(w), len(w), h) for w, h in held]
+
+        def likelihood(power: float) -> float:
+            out = 0.0
+            for e, k, h in known:
+                x = [v * k**power for v in e]
+                top = max(x)
+                out += x[h] - top - math.log(sum(math.exp(v - top) for v in x))
+            return out
+
+        return max(self.POWERS, key=likelihood) if known else self.power
 
     def estimate(self, pages: list[list], labels: list[list]) -> None:
         words_of = [Counter() for _ in STATES]
@@ -192,15 +214,21 @@ class Model:
         self.known: dict[tuple[int, ...], tuple[float, ...]] = {}
         self.trans = np.log(trans / trans.sum(1, keepdims=True))
         self.shapes = [np.log(x / x.sum(1, keepdims=True)) for x in shapes]
-        # prose against the rest, the contrast that words can settle
-        prose, rest = words_of[PROSE], words_of[LINKS] + words_of[TAGS] + words_of[MENU]
-        np_, nr = sum(prose.values()) + 1.0, sum(rest.values()) + 1.0
-        v = len(set(prose) | set(rest)) + 1.0
-        self.weight = Weights({
-            w: max(-self.CLIP, min(self.CLIP, math.log((prose[w] + 0.5) / (np_ + 0.5 * v)) - math.log((rest[w] + 0.5) / (nr + 0.5 * v))))
-            for w in set(prose) | set(rest)
-            if prose[w] + rest[w] > 1
-        })
+        seen = Counter()
+        for c in words_of:
+            seen.update(c)
+        sums, v = [sum(c.values()) + 0.5 * (len(seen) + 1.0) for c in words_of], self.CLIP
+        self.weight = Weights()
+        for w, n in seen.items():
+            if n > 1:
+                x = [math.log((c[w] + 0.5) / t) for c, t in zip(words_of, sums)]
+                mid = sum(x) / len(x)
+                self.weight[w] = tuple(max(-v, min(v, y - mid)) for y in x)
+
+    def evidence(self, w: list[str]) -> tuple[float, ...]:
+        """The mean weight of a unit's words in each state."""
+        k = len(w)
+        return tuple(sum(x) / k for x in zip(*map(self.weight.__getitem__, w)))
 
     def emit(self, w: list[str], f: tuple[int, ...] | None) -> tuple[float, ...]:
         if f is None:
@@ -209,19 +237,22 @@ class Model:
         if e is None:
             e = self.known[f] = tuple(float(sum(t[s, v] for t, v in zip(self.shapes, f))) for s in range(len(STATES)))
         if w:
-            # words of one unit depend on each other: their mean, counted as at most eight
-            m = sum(map(self.weight.__getitem__, w)) / len(w) * min(len(w), 8)
-            return (e[0] + m, *e[1:])
+            # words of one unit depend on each other, so many count less than as often as they are
+            n = len(w) ** self.power
+            p, q, r, u = self.evidence(w)
+            return (e[0] + n * p, e[1] + n * q, e[2] + n * r, e[3] + n * u)
         return e
 
-    def label(self, page: list) -> list[int]:
-        """Viterbi."""
+    def label(self, page: list, hints: list | None = None) -> list[int]:
+        """Viterbi; hints, in training, raise the states they name."""
         if not page:
             return []
         t, back = self.trans.T.tolist(), []
-        a, b, c, d = self.emit(*page[0][1:])
-        for _, w, f in page[1:]:
-            e = self.emit(w, f)
+        seen = [self.emit(w, f) for _, w, f in page]
+        if hints:
+            seen = [tuple(x + self.HINT * (k == h) for k, x in enumerate(e)) for e, h in zip(seen, hints)]
+        a, b, c, d = seen[0]
+        for e in seen[1:]:
             now, ptr = [], []
             for s in range(len(STATES)):
                 p, q, r, u = t[s]
