@@ -282,6 +282,8 @@ class Labeller:
                 price = DOUBLE + (WIDE - ENTER if w in ("gb18030", "euc_jp", "shift_jis") else 0.0)
                 self.readers[outer][1].append((Twice(self.utf8, codecs_[w], codecs_[r]), (f"utf-8>{outer}", f"{w}>{r}"), price))
         self.cache: OrderedDict = OrderedDict()
+        #: What the text at hand's stretches were found to be.
+        self.told: dict = {}
         han = "".join(re.escape(c) for c in sorted({c for c, n in model.uni.items() if n >= 2 and ("\u3000" <= c <= "\u9fff" or "\uff01" <= c <= "\uff60")})) or "\x00"
         self.plain_cjk = re.compile(f"[{han}]{{2,}}")
         #: Known ideographs and kana in a row are clean; the rest of a stretch is searched apart from them.
@@ -289,12 +291,18 @@ class Labeller:
 
     def stretch(self, prev: str, run: str, nxt: str, favoured: frozenset[str] = frozenset()) -> tuple[str, tuple[str, ...]] | None:
         """(restored, pairs used) of one stretch, or None where it is clean."""
+        # what favoured pairs explain already, they explain as well at a lower price
+        told = self.told.get((prev, run, nxt))
+        if told and favoured.issuperset(told[1]):
+            return told
         if len(run) > REMEMBER:
-            return self._viterbi(prev, run, nxt, favoured)
+            out = self.told[prev, run, nxt] = self._viterbi(prev, run, nxt, favoured)
+            return out
         key = (prev, run, nxt, favoured)
         if key in self.cache:
-            return self.cache[key]
-        out = self._viterbi(prev, run, nxt, favoured)
+            out = self.told[prev, run, nxt] = self.cache[key]
+            return out
+        out = self.told[prev, run, nxt] = self._viterbi(prev, run, nxt, favoured)
         if len(self.cache) >= self.CACHE:
             self.cache.popitem(last=False)
         self.cache[key] = out
@@ -364,6 +372,9 @@ class Labeller:
                         enter = base + (AGAIN if favoured and favoured.issuperset(state[1]) else state[2])
                         if enter < least:
                             continue
+                        # most writings have nothing to say from here on
+                        if state[0].first(whole, start) is None and not (holed and state[0] is utf8):
+                            continue
                         f = live.get(state)
                         if f is None:
                             live[state] = {start: Node(enter, here.last, here, IN, i)}
@@ -371,6 +382,9 @@ class Labeller:
                             old = f.get(start)
                             if old is None or enter > old.score:
                                 f[start] = Node(enter, here.last, here, IN, i)
+                if not live:
+                    continue
+                after_this = clean[i + 1].score - BEAM
                 for state in list(live):
                     w, names, _ = state
                     f = live[state]
@@ -385,16 +399,16 @@ class Labeller:
                                 continue
                             t += HOLE
                         u, m = got
-                        if len(u) == 1:
-                            t += logp(cur.last, u)
-                        else:
-                            t += self.model.score(u, cur.last)
-                        e = o + m
-                        if gaps and any(j in gaps for j in range(i, min(n, i + m)) if offs[j] < e):
-                            continue
+                        t += logp(cur.last, u) if len(u) == 1 else self.model.score(u, cur.last)
                         mixed = w.single is not None and "\u0400" <= u <= "\u04ff"
                         if mixed and cur.last.isascii() and cur.last.isalpha():
                             t += JOIN
+                        e = o + m
+                        # a lower score than that can't come within the beam where this character ends
+                        if e == stop and t < after_this:
+                            continue
+                        if gaps and any(j in gaps for j in range(i, min(n, i + m)) if offs[j] < e):
+                            continue
                         node = Node(t, u[-1], cur, STEP, u)
                         old = f.get(e)
                         if old is None or t > old.score:
@@ -438,6 +452,7 @@ class Labeller:
 
     def garbled(self, text: str, favoured: frozenset[str] = frozenset()) -> bool:
         """Whether any character belongs to another state than clean."""
+        self.told = {}
         return bool(self.once(text, favoured, first=True)[1])
 
     def once(self, text: str, favoured: frozenset[str] = frozenset(), first: bool = False) -> tuple[str, list[str]]:
@@ -474,6 +489,7 @@ class Labeller:
         """(restored text, pairs used), labelled until no pair is found; each time the score rises, so this ends."""
         used: list[str] = []
         while True:
+            self.told = {}
             fixed, u = self.once(text, favoured)
             often = frozenset(p for p, n in Counter(u).items() if n >= SEVERAL and p != "loss") - favoured
             if often:
@@ -559,7 +575,7 @@ def repair(df: DataFrame, model: CharModel, text: str = "text", content: str | N
         fixed, used = lab.repair(t, evidence(t, raw, kind))
         if used and raw is not None:
             again = lab.read(raw, fixed, used)
-            if again != fixed:
+            if again not in (fixed, t):
                 fixed, more = lab.repair(again)
                 used = used + more
         return fixed, sorted(set(used))
