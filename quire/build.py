@@ -23,17 +23,23 @@ from quire.sources.adapters import Registry
 
 # Length of summaries kept, and the confidence below which an article is partial.
 SUMMARY_CHARS, MIN_CONFIDENCE = 600, 0.0
+#: The width images are shrunk to.
+MAX_WIDTH = 900
 
 
 def fetch_stage(
     spark: SparkSession, archive: Archive, items: DataFrame, transport: FE.Transport, registry: Registry | None = None, plan: DataFrame | None = None, site_name: str = "", order: str = "site",
-    limit: int | None = None, force: bool = False, images: bool = False, min_confidence: float = MIN_CONFIDENCE, delay: float = FE.DELAY, jitter: float = FE.JITTER, robots: bool = True,
+    limit: int | None = None, force: bool = False, images: bool = False, max_width: int = MAX_WIDTH, min_confidence: float = MIN_CONFIDENCE, delay: float = FE.DELAY, jitter: float = FE.JITTER, robots: bool = True,
 ) -> DataFrame:
     """Fetch and extract the items (url, seq) that the archive lacks, and enter them; the report of the stage.
 
-    A repeated run fetches only what is missing or failed before. Pages are cached in the archive.
+    A repeated run fetches only what is missing or failed before. Pages are cached in the archive. With a
+    plan, items come in its order.
     """
     began = time.monotonic()
+    if plan is not None:
+        plan = written(plan, "plan")
+        items = G.ranked(items.select("url", "seq"), plan)
     old = archive.table(spark, "articles", ARTICLE)
     known = old.where("fetch_status <> 'failed'") if not force else old.limit(0)
     todo = A.todo(A.first_per_url(items), known, limit)
@@ -44,7 +50,7 @@ def fetch_stage(
     got = extract(pages.where("ok").select("url", F.coalesce(F.nullif("text", F.lit("")), F.decode("content", "UTF-8")).alias("html")), registry=registry).drop("html")
     got = written(got.join(todo.select("url", "seq"), "url"), "extracted")
     if images:
-        got = _with_images(archive, got, transport, delay, jitter)
+        got = _with_images(spark, archive, got, transport, delay, jitter, max_width)
     got = TT.clean_titles(got, F.lit(site_name), "title", [], "seq", "title_")
     name = F.initcap(F.translate(F.regexp_extract("url", r"([^/?#]+?)(?:\.\w+)?/?(?:[?#].*)?$", 1), "-_", "  "))
     got = got.withColumn("title", F.when(F.col("title_") != "", F.col("title_")).otherwise(name)).drop("title_")
@@ -73,11 +79,14 @@ def fetch_stage(
     return report
 
 
-def _with_images(archive: Archive, got: DataFrame, transport: FE.Transport, delay: float, jitter: float) -> DataFrame:
-    """Images fetched, stored once by content, and named in the texts."""
-    refs = got.select("url", F.explode(U.image_urls(F.col("markdown"))).alias("src"))
-    pics = written(FE.fetch(refs.select(F.col("src").alias("url")), transport, delay=delay, jitter=jitter, robots=False), "images")
-    stored = written(FE.stored_images(pics.withColumn("seq", F.xxhash64("url"))), "stored")
+def _with_images(spark: SparkSession, archive: Archive, got: DataFrame, transport: FE.Transport, delay: float, jitter: float, max_width: int) -> DataFrame:
+    """Images fetched, shrunk, stored once by content, and named in the texts; their statistics are a report."""
+    refs = got.select("url", F.inline(U.image_refs(U.image_sources(F.col("markdown")), F.col("url"))).alias("placeholder", "src")).where(U.is_http(F.col("src")))
+    refs = written(refs, "refs")
+    pics = FE.fetch(refs.select(F.col("src").alias("url")), transport, delay=delay, jitter=jitter, robots=False)
+    pics = written(FE.shrunk(pics, max_width), "images")
+    stored = written(FE.stored_images(pics.drop("saved").withColumn("seq", F.xxhash64("url"))), "stored")
+    archive.write_report("images", FE.image_stats(pics, stored))
     root = archive.root
 
     def save(part) -> None:
@@ -88,13 +97,9 @@ def _with_images(archive: Archive, got: DataFrame, transport: FE.Transport, dela
 
     stored.where("name IS NOT NULL").join(pics.select("url", "content"), "url").select("name", "content").dropDuplicates(["name"]).foreachPartition(save)
     named = refs.join(stored.where("name IS NOT NULL").select(F.col("url").alias("src"), "name"), "src").groupBy("url").agg(F.array_sort(F.collect_set(F.concat(F.lit("assets/"), "name"))).alias("assets"))
-    return _rewrite(got, refs, stored).join(named, "url", "left").withColumn("assets", F.coalesce("assets", F.array().cast("array<string>")))
-
-
-def _rewrite(got: DataFrame, refs: DataFrame, stored: DataFrame) -> DataFrame:
-    """An image's address is its own placeholder."""
-    r = refs.select(F.col("url").alias("id"), F.col("src").alias("placeholder"), F.col("src").alias("url"))
-    return FE.rewrite_images(got.withColumnRenamed("url", "id"), r, stored, "id").withColumnRenamed("id", "url")
+    r = refs.select(F.col("url").alias("id"), "placeholder", F.col("src").alias("url"))
+    done = FE.rewrite_images(got.withColumnRenamed("url", "id"), r, stored, "id").withColumnRenamed("id", "url")
+    return done.join(named, "url", "left").withColumn("assets", F.coalesce("assets", F.array().cast("array<string>")))
 
 
 def _report(pages: DataFrame, got: DataFrame, now: DataFrame, seconds: float) -> DataFrame:
@@ -137,13 +142,26 @@ def reorder(spark: SparkSession, archive: Archive, order: str, dates: DataFrame
     return archive.table(spark, "articles", ARTICLE)
 
 
-def translate(spark: SparkSession, archive: Archive, dest: str, translator: Callable[[str], str], bilingual: bool = False, strict: bool = False) -> tuple[Archive, DataFrame]:
-    """A copy of the archive with translated texts, and what each article got. With `strict`, articles with problems stay as they are."""
-    texts = archive.read_content(spark).where("NOT translated")
-    body = frontmatter.body(F.col("body"))
-    src = written(texts.select("id", "title", "summary", body.alias("body")), "to-translate")
-    ch = written(C.prepare(src), "chunks")
-    done = written(C.apply(ch, C.translate(ch, translator), bilingual), "translated")
+def prepared(spark: SparkSession, archive: Archive, only: list[str] | None = None, skip_translated: bool = True) -> DataFrame:
+    """The chunks of an archive's articles: of those named by `only`, without those translated before."""
+    texts = archive.read_content(spark)
+    if skip_translated:
+        texts = texts.where("NOT translated")
+    if only is not None:
+        texts = texts.where(F.col("id").isin(*only) if only else F.lit(False))
+    return written(C.prepare(written(texts.select("id", "title", "summary", frontmatter.body(F.col("body")).alias("body")), "to-translate")), "chunks")
+
+
+def translate(spark: SparkSession, archive: Archive, dest: str, translator: Callable[[str], str] | DataFrame, bilingual: bool = False, strict: bool = False, only: list[str] | None = None, skip_translated: bool = True) -> tuple[Archive, DataFrame]:
+    """A copy of the archive with translated texts, and what each article got.
+
+    `translator` takes a text, or is a table (id, text) of chunks translated elsewhere. With `strict`,
+    articles with problems stay as they are. `only` names the ids to translate; articles translated
+    before are left unless `skip_translated` is off.
+    """
+    ch = prepared(spark, archive, only, skip_translated)
+    texts = translator if isinstance(translator, DataFrame) else C.translate(ch, translator)
+    done = written(C.apply(ch, texts, bilingual), "translated")
     out = archive.clone_to(spark, dest)
     use = done.where((F.size("problems") == 0) & (F.size("missing") == 0)) if strict else done
     a = archive.table(spark, "articles", ARTICLE)
@@ -154,6 +172,12 @@ def translate(spark: SparkSession, archive: Archive, dest: str, translator: Call
     return out, done.drop("body")
 
 
+def style_of(spark: SparkSession, book: dict, articles: int, words: int) -> str:
+    """The cover's style for a book of so many articles and words."""
+    row = spark.createDataFrame([(book.get("title", ""), book.get("subtitle", ""), book.get("description", ""), articles, words)], "t string, s string, d string, n long, w long")
+    return row.select(cover.recommend_style(F.col("t"), F.col("s"), F.col("d"), F.col("n"), F.col("w"))).first()[0]
+
+
 def pack(spark: SparkSession, archive: Archive, path: str, by: str = "auto", theme: str = "classic", style: str = "auto") -> dict:
     """The archive as an EPUB with its plan, index and cover."""
     book = archive.book
@@ -162,9 +186,7 @@ def pack(spark: SparkSession, archive: Archive, path: str, by: str = "auto", the
     ch = written(A.title_suffixes(ch).withColumn("title", F.col("shown")).drop("shown"), "chapters")
     plan = plan_of(spark, archive, by)
     n, words = ch.agg(F.count("*"), F.coalesce(F.sum("word_count"), F.lit(0))).first()
-    if style == "auto":
-        row = spark.createDataFrame([(book.get("title", ""), book.get("subtitle", ""), book.get("description", ""), n, words)], "t string, s string, d string, n long, w long")
-        style = row.select(cover.recommend_style(F.col("t"), F.col("s"), F.col("d"), F.col("n"), F.col("w"))).first()[0]
+    style = style_of(spark, book, n, words) if style == "auto" else style
     assets = archive.root / "assets"
     pics = {p.name: p for p in assets.iterdir()} if assets.is_dir() else {}
     out = epub.publish(written(toc.spine(plan, ch), "spine"), ch, path, book, theme, cover.svg(book.get("title", ""), book.get("author", ""), book.get("subtitle", ""), style), pics)
@@ -181,11 +203,41 @@ def summary(report: dict, packed: dict, archive: Archive) -> dict:
     return s
 
 
-def build(spark: SparkSession, items: DataFrame, transport: FE.Transport, root: str, out: str, book: dict, by: str = "auto", **options) -> dict:
+def build(spark: SparkSession, items: DataFrame, transport: FE.Transport, root: str, out: str, book: dict, by: str = "auto", theme: str = "classic", style: str = "auto", **options) -> dict:
     """Fetch, plan, pack and sum up; problems of single pages don't stop it."""
     archive = Archive(root, book)
     report = fetch_stage(spark, archive, items, transport, **options).first().asDict()
-    packed = pack(spark, archive, out, by)
+    packed = pack(spark, archive, out, by, theme, style)
     s = summary(report, packed, archive)
     archive._write("reports/summary.json", s)
     return s
+
+
+def build_site(spark: SparkSession, url: str, transport: FE.Transport, root: str, out: str, book: dict, by: str = "auto", registry: Registry | None = None, limit: int = 0, **options) -> dict:
+    """A book of a site: it is asked what it is, and its interface, feed, sitemap or links give the items.
+
+    A site with a REST interface has a plan by category, with a last part of what no category places.
+    """
+    from quire.plans import taxonomy
+    from quire.sources import items as IT
+    from quire.sources.probe import probe
+
+    def get(u: str) -> str | None:
+        a = transport(u)
+        return (a.text or a.content.decode("utf-8", "replace")) if a.status == 200 else None
+
+    p = probe(get, url, registry)
+    book = {"title": p.title, "author": p.author, "description": p.description, "language": p.language} | {k: v for k, v in book.items() if v}
+    pace = {k: options[k] for k in ("delay", "jitter", "robots") if k in options}
+    plan = None
+    if p.api_root and by in ("auto", "category"):
+        categories, posts = IT.from_rest(spark, transport, url)
+        found = taxonomy.site_entries(posts)
+        plan = written(G.rescue_orphans(taxonomy.by_category(categories, posts).drop("site"), found.select("url", "seq")), "plan")
+        if limit:
+            plan = written(G.round_robin(plan, limit), "plan")
+        items = found.join(plan.select("url").distinct(), "url", "left_semi").select("url", "seq")
+    else:
+        kind = {"feed": "feeds", "sitemap": "sitemaps"}.get(p.kind, "entries")
+        items = IT.gather(spark, transport, **{kind: p.entry_urls}, limit=limit, **pace)
+    return build(spark, written(items.select("url", "seq"), "items"), transport, root, out, book, "auto" if plan is not None else by, plan=plan, registry=registry, site_name=p.title, **options)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import urllib.parse
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,10 +99,32 @@ def mime_of(c: Column) -> Column:
     return F.coalesce(F.try_element_at(table, ext), F.lit("application/octet-stream"))
 
 
-def image_urls(c: Column) -> Column:
-    """Absolute addresses of the images of a Markdown or HTML text, in order of form and place, each once."""
+def image_sources(c: Column) -> Column:
+    """What images of a Markdown or HTML text are named by, in order of form and place, each once."""
     c = or_empty(c)
     md = F.regexp_extract_all(c, F.lit(r"!\[[^\]]*\]\(([^)\s]+)"), F.lit(1))
     tags = F.regexp_extract_all(c, F.lit(r"""(?i)<img[^>]+src=["']([^"']+)"""), F.lit(1))
     lazy = F.regexp_extract_all(c, F.lit(r"""(?i)\b(?:src|data-src|data-original)=["']([^"']+\.(?:jpg|jpeg|png|gif|webp|svg|avif))["']"""), F.lit(1))
-    return F.filter(F.array_distinct(F.concat(md, tags, lazy)), is_http)
+    return F.array_distinct(F.concat(md, tags, lazy))
+
+
+def image_urls(c: Column, base: Column | None = None) -> Column:
+    """Absolute addresses of a text's images, each once; with the page's own as `base`, relative ones are joined to it."""
+    found = image_sources(c)
+    return F.filter(F.array_distinct(F.transform(image_refs(found, base), lambda x: x["url"])) if base is not None else found, is_http)
+
+
+def image_refs(sources: Column, base: Column) -> Column:
+    """array<struct<src, url>>: each source with its absolute address, by Arrow batches, as Catalyst can't join addresses."""
+
+    @F.pandas_udf("array<struct<src:string,url:string>>")
+    def run(s: pd.Series, b: pd.Series) -> pd.Series:
+        def full(x: str, at: str | None) -> str:
+            try:
+                return urllib.parse.urljoin(at or "", x)
+            except ValueError:
+                return x
+
+        return pd.Series([[{"src": x, "url": full(x, at)} for x in (xs if xs is not None else [])] for xs, at in zip(s, b)], dtype="object")
+
+    return run(sources, base)

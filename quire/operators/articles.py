@@ -19,7 +19,7 @@ from quire.operators.ranking import row_numbers
 
 # Thresholds of notes and reports, and the place of undated articles.
 LOW_CONFIDENCE, FEW_WORDS, DOUBTFUL = 0.6, 80, 0.5
-LAST_DATE, FIRST_DATE, NO_RANK = "9999", "0000", 10**9
+LAST_DATE, FIRST_DATE = "9999", "0000"
 ORDERS = ("site", "reverse", "alpha", "date-asc", "date-desc")
 
 

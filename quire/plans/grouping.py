@@ -25,6 +25,8 @@ PLAN = ["part_no", "part_title", "part_slug", "section_no", "section_title", "se
 MAX_PARTS = 10_000
 #: The most urls a part may have in nested form.
 MAX_NESTED = 200_000
+# Fixed value: the part of what a plan has no place for.
+NO_RANK = 10**9
 #: Urls in one line of a nested file.
 PIECE = 10_000
 
@@ -114,6 +116,16 @@ def place_of_urls(plan: DataFrame) -> DataFrame:
     return plan.groupBy(U.url_key(F.col("url")).alias("key")).agg(F.max_by(F.struct("part_title", "section_title"), at).alias("v"), F.max(at).alias("rank")).select("key", "v.part_title", "v.section_title", "rank")
 
 
+def ranked(items: DataFrame, plan: DataFrame, url: str = "url", seq: str = "seq") -> DataFrame:
+    """`items` with `seq` anew: by their place in the plan, those without one behind, in their former order."""
+    p = place_of_urls(plan).select("key", F.col("rank").alias("_rank"))
+    j = items.withColumn("_k", U.url_key(F.col(url))).join(p, F.col("_k") == F.col("key"), "left")
+    part = F.coalesce(F.col("_rank.part_no"), F.lit(NO_RANK).cast("long"))
+    order = [part, F.col("_rank.section_no"), F.col("_rank.pos"), F.col(seq)]
+    kept = [c for c in items.columns if c != seq]
+    return row_numbers(j.select(*kept, F.col(seq), "_rank"), [], order, "_n").select(*kept, F.col("_n").alias(seq))
+
+
 def attach(items: DataFrame, plan: DataFrame, url: str = "url") -> DataFrame:
     """`items` with part and section titles, '' where the plan hasn't their url."""
     p = place_of_urls(plan).select("key", F.col("part_title").alias("_p"), F.col("section_title").alias("_s"))

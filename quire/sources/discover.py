@@ -76,20 +76,19 @@ def is_sitemap_index(body: Column) -> Column:
     return F.lower(T.or_empty(body)).contains("<sitemapindex")
 
 
-def from_sitemap(bodies: DataFrame, start: str, include: str = "", limit: int = 0) -> DataFrame:
+def from_sitemap(bodies: DataFrame | Callable[[DataFrame], DataFrame], start: str | DataFrame, include: str = "", limit: int = 0) -> DataFrame:
     """(url, level, sitemap, pos): the pages of a sitemap and all sitemaps its index names, level by level, each sitemap once.
 
-    `bodies` (url, body) holds the sitemaps at hand. The frontier is a table, not a list.
+    `bodies` (url, body) holds the sitemaps at hand, or fetches those of a table (url). The frontier is a table, not a list.
     """
-    spark = bodies.sparkSession
-    frontier = spark.createDataFrame([(start,)], "url string")
+    from quire.session import written
+
+    frontier = start if isinstance(start, DataFrame) else bodies.sparkSession.createDataFrame([(start,)], "url string")
     seen, parts, level = frontier, [], 0
-    while not frontier.isEmpty():
-        here = frontier.join(bodies, "url")
+    while level == 0 or not frontier.isEmpty():
+        here = bodies(frontier) if callable(bodies) else frontier.join(bodies, "url")
         parts.append(here.where(~is_sitemap_index(F.col("body"))).select(F.col("url").alias("sitemap"), F.lit(level).alias("level"), F.posexplode(sitemap_locs(F.col("body"))).alias("pos", "loc")))
         below = here.where(is_sitemap_index(F.col("body"))).select(F.explode(sitemap_locs(F.col("body"))).alias("url")).distinct().join(seen, "url", "left_anti")
-        from quire.session import written
-
         frontier = written(below, "sitemaps")
         seen = seen.unionByName(frontier)
         level += 1
@@ -125,22 +124,22 @@ def is_sitemap(body: Column) -> Column:
 
 
 def from_urls_file(spark: SparkSession, path: str) -> DataFrame:
-    """(url, seq) of a file with an address a line; lines with # are comments."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("seq", "line"))
-    url = T.strip(F.col("line"))
-    return lines.select(url.alias("url"), "seq").where((F.col("url") != "") & ~F.col("url").startswith("#"))
+    """(url, seq) of a file with an address a line; lines with # are comments. `seq` grows with the place in the file."""
+    lines = spark.read.text(path).select(T.strip(F.col("value")).alias("url"), F.monotonically_increasing_id().alias("seq"))
+    return lines.where((F.col("url") != "") & ~F.col("url").startswith("#"))
 
 
 def resolve(*parts: DataFrame, limit: int = 0) -> DataFrame:
     """(url, section, seq): the union of sources (url, section, seq), in their order, the first of each address."""
     from quire.operators.articles import first_per_url
+    from quire.operators.ranking import row_numbers
 
     all_ = None
     for i, p in enumerate(parts):
         q = p.select("url", "section", F.struct(F.lit(i).alias("source"), F.col("seq").cast("long").alias("n")).alias("seq"))
         all_ = q if all_ is None else all_.unionByName(q)
-    out = first_per_url(all_)
-    return out.orderBy("seq").limit(limit) if limit else out
+    out = row_numbers(first_per_url(all_), [], ["seq"], "_n").select("url", "section", F.col("_n").alias("seq"))
+    return out.where(F.col("seq") <= limit) if limit else out
 
 
 POST = "array<struct<id:int,link:string,date:string,title:struct<rendered:string>,categories:array<int>,tags:array<int>>>"

@@ -18,11 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.url import netloc
+from quire.session import slices
 
 # Pace and patience.
 DELAY, JITTER, RETRIES, LONGEST_WAIT, LONGEST_BACKOFF, LONGEST_PAUSE = 0.6, 0.3, 2, 60.0, 20.0, 30.0
 FINAL = (401, 403, 404, 410, 451)
 BUSY = (429, 503)
+#: Pages held by a task before they are handed on.
+PAGES = 50
 IMAGE_MOST, IMAGE_LEAST = 12 * 1024 * 1024, 512
 SCHEMA = "url string, ok boolean, status int, text string, content binary, content_type string, from_cache boolean, attempts int, error string, elapsed double"
 
@@ -130,7 +133,7 @@ def fetch(items: DataFrame, transport: Transport, cache: DataFrame | None = None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pace, rules = Pace(delay, jitter), Robots(transport) if robots else None
-        for pdf in batches:
+        for pdf in slices(batches, PAGES):
             yield pd.DataFrame([fetch_one(u, transport, pace, rules, retries) for u in pdf["url"]], columns=[p.split()[0] for p in SCHEMA.split(", ")])
 
     got = urls.withColumn("host", netloc(F.col("url"))).repartition("host").select("url").mapInPandas(run, SCHEMA)
@@ -232,3 +235,25 @@ def shrink_image(content: bytes, ext: str, max_width: int, quality: int = 80) ->
         return (out.getvalue(), ".png" if clear else ".jpg") if out.tell() < len(content) else (content, ext)
     except Exception:  # noqa: BLE001  what can't be read stays
         return content, ext
+
+
+def shrunk(images: DataFrame, max_width: int) -> DataFrame:
+    """`images` (ok, url, content, content_type) no wider than `max_width` where that saves bytes, with `saved`, the bytes it saved."""
+    ext = image_extension(F.col("url"), F.col("content_type"))
+
+    @F.pandas_udf("content binary, ext string")
+    def run(raw: pd.Series, e: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([shrink_image(bytes(c), x, max_width) if c is not None else (None, x) for c, x in zip(raw, e)], columns=["content", "ext"])
+
+    got = images.withColumn("_e", ext).withColumn("_s", run("content", "_e"))
+    kind = F.when(F.col("_s.ext") != F.col("_e"), F.when(F.col("_s.ext") == ".png", "image/png").otherwise("image/jpeg")).otherwise(F.col("content_type"))
+    saved = F.coalesce(F.length("content") - F.length("_s.content"), F.lit(0)).cast("long")
+    return got.withColumn("saved", saved).withColumn("content", F.col("_s.content")).withColumn("content_type", kind).drop("_e", "_s")
+
+
+def image_stats(images: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row: images asked for, stored, deduplicated (equal to another), failed, shrunk, and bytes saved. `images` (url, saved) may lack `saved`."""
+    s = stored.agg(F.count("*").alias("images"), F.count_distinct("name").alias("stored"), F.count("name").alias("_good"), F.count("problem").alias("failed"))
+    saved = F.col("saved") if "saved" in images.columns else F.lit(0).cast("long")
+    i = images.agg(F.count_if(saved > 0).alias("shrunk"), F.coalesce(F.sum(saved), F.lit(0)).alias("saved_bytes"))
+    return s.crossJoin(F.broadcast(i)).select("images", "stored", (F.col("_good") - F.col("stored")).alias("deduplicated"), "failed", "shrunk", "saved_bytes")
