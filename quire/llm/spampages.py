@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain, repeat
 from operator import add
 
 import numpy as np
@@ -151,15 +152,6 @@ def hinted(w: list[str], f: tuple[int, ...]) -> int | None:
     return None
 
 
-class Weights(dict):
-    """Words to their weights in each state; none for unknown ones."""
-
-    NONE = (0.0,) * len(STATES)
-
-    def __missing__(self, key: str) -> tuple[float, ...]:
-        return self.NONE
-
-
 class Model:
     """Emissions and transitions, in logarithms."""
 
@@ -182,7 +174,7 @@ class Model:
         """The power under which words alone best tell the hinted units of every other page, learned on the rest."""
         self.estimate(pages[::2], hints[::2])
         held = [(w, h) for page, hs in zip(pages[1::2], hints[1::2]) for (_, w, f), h in zip(page, hs) if f is not None and h is not None and w]
-        known = [(self.evidence(w), len(w), h) for w, h in held]
+        known = [(e, len(w), h) for e, (w, h) in zip(self.evidence([w for w, _ in held]).tolist(), held)]
 
         def likelihood(power: float) -> float:
             out = 0.0
@@ -218,37 +210,42 @@ class Model:
         for c in words_of:
             seen.update(c)
         sums, v = [sum(c.values()) + 0.5 * (len(seen) + 1.0) for c in words_of], self.CLIP
-        self.weight = Weights()
-        for w, n in seen.items():
-            if n > 1:
-                x = [math.log((c[w] + 0.5) / t) for c, t in zip(words_of, sums)]
-                mid = sum(x) / len(x)
-                self.weight[w] = tuple(max(-v, min(v, y - mid)) for y in x)
-
-    def evidence(self, w: list[str]) -> tuple[float, ...]:
-        """The mean weight of a unit's words in each state."""
-        k = len(w)
-        return tuple(sum(x) / k for x in zip(*map(self.weight.__getitem__, w)))
-
-    def emit(self, w: list[str], f: tuple[int, ...] | None) -> tuple[float, ...]:
-        if f is None:
-            return self.CODE
-        e = self.known.get(f)
-        if e is None:
-            e = self.known[f] = tuple(float(sum(t[s, v] for t, v in zip(self.shapes, f))) for s in range(len(STATES)))
-        if w:
-            # words of one unit depend on each other, so many count less than as often as they are
-            n = len(w) ** self.power
-            p, q, r, u = self.evidence(w)
-            return (e[0] + n * p, e[1] + n * q, e[2] + n * r, e[3] + n * u)
-        return e
+        # word numbers, and a row of weights for each; row 0 is that of unknown words
+        often = [w for w, n in seen.items() if n > 1]
+        self.ids = {w: i for i, w in enumerate(often, 1)}
+        x = np.log((np.array([[c[w] for c in words_of] for w in often]).reshape(-1, len(STATES)) + 0.5) / np.array(sums))
+        self.weight = np.vstack([np.zeros(len(STATES)), np.clip(x - x.mean(1, keepdims=True), -v, v)])
+
+    def evidence(self, units: list[list[str]]) -> np.ndarray:
+        """The mean weight of each unit's words in each state; units without words have none."""
+        out = np.zeros((len(units), len(STATES)))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        some = np.flatnonzero(sizes)
+        if len(some):
+            words = np.fromiter(map(self.ids.get, chain.from_iterable(units), repeat(0)), np.int64, int(sizes.sum()))
+            starts = (np.cumsum(sizes) - sizes)[some]
+            out[some] = np.add.reduceat(self.weight[words], starts) / sizes[some, None]
+        return out
+
+    def emissions(self, page: list) -> list[list[float]]:
+        """The log-probability of every unit in each state."""
+        units = [w if f is not None else [] for _, w, f in page]
+        out = []
+        for _, _, f in page:
+            e = self.CODE if f is None else self.known.get(f)
+            if e is None:
+                e = self.known[f] = tuple(float(sum(t[s, v] for t, v in zip(self.shapes, f))) for s in range(len(STATES)))
+            out.append(e)
+        # words of one unit depend on each other, so many count less than as often as they are
+        n = np.fromiter(map(len, units), np.int64, len(units)) ** self.power
+        return (np.array(out) + self.evidence(units) * n[:, None]).tolist()
 
     def label(self, page: list, hints: list | None = None) -> list[int]:
         """Viterbi; hints, in training, raise the states they name."""
         if not page:
             return []
         t, back = self.trans.T.tolist(), []
-        seen = [self.emit(w, f) for _, w, f in page]
+        seen = self.emissions(page)
         if hints:
             seen = [tuple(x + self.HINT * (k == h) for k, x in enumerate(e)) for e, h in zip(seen, hints)]
         a, b, c, d = seen[0]
