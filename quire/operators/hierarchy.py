@@ -14,6 +14,7 @@ results. Other columns of the input are ignored, whatever their names.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,15 +23,25 @@ from quire.session import fresh_path, written
 
 UNROLL = 4
 MAX_ROUNDS = 1_000_000
+#: What a frontier carries beside the id: all of a line, or nothing where only reach matters.
+LINE, REACH = ("root", "depth", "path", "line"), ()
 
 
 @dataclass
 class Hierarchy:
-    """`nodes` one row a category; `lines` the reached ones with their ancestor ids; `cycles` (id, cycle_id)."""
+    """`nodes` one row a category; `lines` the reached ones with their ancestor ids; `cycles` (id, cycle_id). The last two are made when asked for."""
 
     nodes: DataFrame
-    lines: DataFrame
-    cycles: DataFrame
+
+    @cached_property
+    def lines(self) -> DataFrame:
+        return _levels(self.nodes, LINE)
+
+    @cached_property
+    def cycles(self) -> DataFrame:
+        reached = self.lines if "lines" in self.__dict__ else _levels(self.nodes, REACH)
+        unreached = self.nodes.select("id", "parent").join(reached.select("id"), "id", "left_anti")
+        return _cycles(written(unreached, "tree-unreached"))
 
     def paths(self) -> DataFrame:
         """(id, site, parent, state, path, depth, root, cycle_id), one row a node.
@@ -71,22 +82,20 @@ def clean_nodes(df: DataFrame, id_col: str = "id", parent_col: str = "parent", s
 
 def build(df: DataFrame, id_col: str = "id", parent_col: str = "parent", slug_col: str = "slug", site_col: str = "site") -> Hierarchy:
     """Resolve the whole forest of `df`."""
-    nodes = written(clean_nodes(df, id_col, parent_col, slug_col, site_col), "tree-nodes")
-    lines = _lines(nodes)
-    unreached = nodes.join(lines.select("id"), "id", "left_anti").select("id", "parent")
-    return Hierarchy(nodes, lines, _cycles(written(unreached, "tree-unreached")))
+    return Hierarchy(written(clean_nodes(df, id_col, parent_col, slug_col, site_col), "tree-nodes"))
 
 
-def _hops(nodes: DataFrame) -> DataFrame:
-    """(top, id, step, slugs, ids): id lies step levels below top, 1 <= step <= UNROLL."""
-    one = nodes.where("parent <> 0").select(F.col("parent").alias("top"), "id", F.lit(1).alias("step"), F.array("slug").alias("slugs"), F.array("id").alias("ids"))
-    step, parts = one, [one]
+def _hops(nodes: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """(top, id, step), and slugs, ids where lines are carried: id lies step levels below top, 1 <= step <= UNROLL."""
+    more = [F.array("slug").alias("slugs"), F.array("id").alias("ids")] if carry else []
+    step = nodes.where("parent <> 0").select(F.col("parent").alias("top"), "id", F.lit(1).alias("step"), *more)
+    parts = [step]
     for k in range(2, UNROLL + 1):
         below = nodes.select(F.col("id").alias("c"), F.col("parent").alias("id"), F.col("slug").alias("s"))
-        step = step.join(below, "id").select(
-            "top", F.col("c").alias("id"), F.lit(k).alias("step"), F.concat("slugs", F.array("s")).alias("slugs"), F.concat("ids", F.array("c")).alias("ids")
-        )
-        step = written(step, "tree-hops") if k < UNROLL else step
+        grown = [F.concat("slugs", F.array("s")).alias("slugs"), F.concat("ids", F.array("c")).alias("ids")] if carry else []
+        step = step.join(below, "id").select("top", F.col("c").alias("id"), F.lit(k).alias("step"), *grown)
+        # ids alone are cheap to join again
+        step = written(step, "tree-hops") if carry and k < UNROLL else step
         parts.append(step)
     out = parts[0]
     for p in parts[1:]:
@@ -94,28 +103,26 @@ def _hops(nodes: DataFrame) -> DataFrame:
     return written(out, "tree-hops")
 
 
-def _lines(nodes: DataFrame) -> DataFrame:
-    """(id, root, depth, path, line) of every node that a root reaches; line holds the ids from the root down."""
+def _levels(nodes: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """(id, carry...) of every node that a root reaches; line holds the ids from the root down.
+
+    A frontier row meets all nodes up to UNROLL levels below it. Ids are unique in the frontier, so a
+    parent with very many children is skew on one side alone, which Spark splits.
+    """
     spark = nodes.sparkSession
     known = nodes.select(F.col("id").alias("parent"))
     roots = nodes.where("parent = 0").unionByName(nodes.where("parent <> 0").join(known, "parent", "left_anti").select(nodes.columns))
-    frontier = roots.select("id", F.col("id").alias("root"), F.lit(1).alias("depth"), F.col("slug").alias("path"), F.array("id").alias("line"))
-    hops = _hops(nodes)
-    frontier = written(frontier, "tree-level")
-    parts, paths = [frontier], []
+    begin = {"root": F.col("id"), "depth": F.lit(1), "path": F.col("slug"), "line": F.array("id")}
+    hops = _hops(nodes, carry)
+    frontier = written(roots.select("id", *[begin[c].alias(c) for c in carry]), "tree-level")
+    further = {"root": F.col("root"), "depth": F.col("depth") + F.col("step"), "path": F.concat_ws("/", "path", F.concat_ws("/", "slugs")) if carry else F.lit(""), "line": F.concat("line", "ids") if carry else F.lit("")}
+    parts = [frontier]
     for _ in range(MAX_ROUNDS):
-        f = frontier.select(F.col("id").alias("top"), "root", "depth", "path", "line")
-        below = f.join(hops, "top").select(
-            "id", "root", (F.col("depth") + F.col("step")).alias("depth"), F.concat_ws("/", "path", F.concat_ws("/", "slugs")).alias("path"),
-            F.concat("line", "ids").alias("line"), "step",
-        )
+        below = frontier.withColumnRenamed("id", "top").join(hops, "top").select("id", *[further[c].alias(c) for c in carry], "step")
         path = fresh_path(spark, "tree-level")
         below.write.partitionBy("step").parquet(path)
         level = spark.read.schema(below.schema).parquet(path)
         frontier = level.where(F.col("step") == UNROLL).drop("step")
-        if level.isEmpty():
-            break
-        paths.append(path)
         parts.append(level.drop("step"))
         if frontier.isEmpty():
             break
@@ -128,11 +135,16 @@ def _lines(nodes: DataFrame) -> DataFrame:
 def _cycles(left: DataFrame) -> DataFrame:
     """(id, cycle_id) of the nodes of `left` (id, parent; every parent is in it) that reach themselves.
 
-    Each round doubles the jump of every node and the stretch its minimum covers. The images of
-    the jumps shrink to the circles; once their number and all minima on them stand still, the
+    Each step doubles the jump of every node and the stretch its minimum covers; a round takes two. The
+    images of the jumps shrink to the circles; once their number and all minima on them stand still, the
     images are the circles and each minimum is the smallest id of its circle.
     """
     jumps = left.select("id", F.col("parent").alias("to"), F.least("id", "parent").alias("low"))
+
+    def doubled(j: DataFrame) -> DataFrame:
+        far = j.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
+        return j.join(far, "to").select("id", F.col("to2").alias("to"), F.least("low", "low2").alias("low"))
+
     before = None
     while True:
         images = jumps.select(F.col("to").alias("id")).distinct()
@@ -141,5 +153,4 @@ def _cycles(left: DataFrame) -> DataFrame:
         if now[0] == 0 or now == before:
             return on
         before = now
-        far = jumps.select(F.col("id").alias("to"), F.col("to").alias("to2"), F.col("low").alias("low2"))
-        jumps = written(jumps.join(far, "to").select("id", F.col("to2").alias("to"), F.least("low", "low2").alias("low")), "tree-jumps")
+        jumps = written(doubled(doubled(jumps)), "tree-jumps")

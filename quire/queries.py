@@ -308,11 +308,14 @@ def _category_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written(TX.by_category(table(spark, sf_dir, "categories"), table(spark, sf_dir, "posts")), "plan")
 
 
-@query()
+@query(_DEPTH + _TOP + _PRIORITY + _THEMES + _PICK + f""", r AS (SELECT pick.site, pick.id, p.url, p.date, pick.top, pick.category, pick.steps, coalesce(th.theme_no, pick.top) AS po, CASE WHEN steps = 0 THEN 1099511627776 ELSE category END AS so, tc.slug AS part_slug, CASE WHEN steps = 0 THEN '__self__' ELSE c.slug END AS section_slug
+  FROM pick JOIN {_POSTS} p ON p.id = pick.id JOIN c ON c.id = pick.category JOIN c tc ON tc.id = pick.top LEFT JOIN th ON th.id = pick.top WHERE steps = 0 OR c.parent = pick.top),
+plan AS (SELECT dense_rank() OVER (PARTITION BY site ORDER BY po, top) AS part_no, part_slug, dense_rank() OVER (PARTITION BY site, top ORDER BY so) AS section_no, section_slug, row_number() OVER (PARTITION BY site, top, so ORDER BY date, id) AS pos, url FROM r)
+SELECT * FROM plan UNION ALL SELECT (SELECT max(part_no) + 1 FROM plan), '{G.ORPHAN_SLUG}', 1, '{G.ORPHAN_SLUG}', row_number() OVER (ORDER BY seq, url), url FROM {_ENTRIES} WHERE url NOT IN (SELECT url FROM plan)""")
 def q_plan_with_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The category plan of all sites with a last part of posts it has no place for."""
     plan = _category_plan(spark, sf_dir).drop("site")
-    return G.rescue_orphans(plan, _entries(spark, sf_dir).select("url", "seq"))
+    return G.rescue_orphans(plan, _entries(spark, sf_dir).select("url", "seq")).select("part_no", "part_slug", "section_no", "section_slug", "pos", "url")
 
 
 _A = "(SELECT article_no, min(id) AS id, min(title) AS title, min(source_url) AS url, min(published_at) AS date, min(word_count) AS words, min(idx) AS idx, min(file) AS file FROM articles GROUP BY article_no)"
@@ -415,7 +418,9 @@ def q_index_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("article_no", toc.index_line(F.col("idx"), F.col("title"), F.col("file"), F.col("published_at"), F.col("word_count")).alias("line"))
 
 
-@query()
+@query(f"""WITH {_APLAN}, f AS (SELECT k, part_no FROM (SELECT split_part(url, '#', 1) AS k, part_no, row_number() OVER (PARTITION BY split_part(url, '#', 1) ORDER BY part_no, pos) AS n FROM plan) WHERE n = 1)
+SELECT part_no, CAST(0 AS BIGINT) AS section_no, 0 AS idx, '### ' || part_title || '（' || count(*) || ' 篇）' AS line FROM plan GROUP BY part_no, part_title
+UNION ALL SELECT f.part_no, CAST(1 AS BIGINT), idx, {_LINE} FROM {_A} a JOIN f ON f.k = split_part(a.url, '#', 1)""")
 def q_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole index: headings and lines."""
     return toc.index_lines(_article_plan(spark, sf_dir), _articles(spark, sf_dir))
@@ -493,6 +498,17 @@ def q_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return A.upsert(a, a.where("article_no % 3 = 0").withColumn("title", F.concat("title", F.lit("*")))).select("id", "title")
 
 
+@query("""WITH RECURSIVE s AS (SELECT id, slug, row_number() OVER (ORDER BY id) AS n FROM (SELECT id, min(slug) AS slug FROM categories WHERE coalesce(slug, '') <> '' GROUP BY id)),
+w AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS INTEGER) AS id, '' AS name, CAST([] AS VARCHAR[]) AS taken UNION ALL
+  SELECT t.n, t.id, t.name, list_append(t.taken, t.name) FROM (SELECT s.n, s.id, w.taken, CASE WHEN NOT list_contains(w.taken, s.slug) THEN s.slug
+    ELSE s.slug || '-' || list_filter(range(2, s.n + 3), lambda k: NOT list_contains(w.taken, s.slug || '-' || k))[1] END AS name FROM w JOIN s ON s.n = w.n + 1) t)
+SELECT id, name FROM w WHERE n > 0""")
+def q_unique_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every category's slug, or the first of slug-2, slug-3, ... that no category before it has taken."""
+    c = table(spark, sf_dir, "categories").where("slug <> ''").groupBy("id").agg(F.min("slug").alias("slug"))
+    return A.unique_slugs(c, "slug", "id", "name").select("id", "name")
+
+
 @query()
 def q_unique_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An id for every article from its title, none twice."""

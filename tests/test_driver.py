@@ -57,10 +57,25 @@ def test_core_does_not_import_llm():
 
 
 def test_without_llm(tmp_path):
-    shutil.copytree(f"{ROOT}/quire", tmp_path / "quire", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    """With both folders deleted the entry has the core's queries, all tests are collected, and those without tables pass."""
+    for name in ("quire", "tests"):
+        shutil.copytree(f"{ROOT}/{name}", tmp_path / name, ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
     code = "import __spark_entry__ as e; assert len(e.queries()) > 50 and not any(k.startswith('p1_') for k in e.queries())"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, check=True)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "--collect-only", "tests"], cwd=tmp_path, env=env, check=True, capture_output=True)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_functions.py", "tests/test_html.py"], cwd=tmp_path, env=env, check=True, capture_output=True)
+
+
+def test_a_broken_import_in_llm_is_an_error(tmp_path):
+    shutil.copytree(f"{ROOT}/quire", tmp_path / "quire", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    (tmp_path / "quire" / "llm").mkdir()
+    (tmp_path / "quire" / "llm" / "__init__.py").touch()
+    (tmp_path / "quire" / "llm" / "queries.py").write_text("import not_there\n")
+    env = {**os.environ, "PYTHONPATH": str(tmp_path)}
+    assert b"not_there" in subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=env, capture_output=True).stderr
 
 
 def test_command_line(sf, tmp_path, capsys):
