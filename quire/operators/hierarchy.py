@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from quire.session import fresh_path, written
 
-UNROLL = 4
+#: Levels that one join of the frontier advances: with lines, and, as twice doubled, with ids alone.
+UNROLL, DOUBLINGS = 4, 2
 MAX_ROUNDS = 1_000_000
 #: What a frontier carries beside the id: all of a line, or nothing where only reach matters.
 LINE, REACH = ("root", "depth", "path", "line"), ()
@@ -86,7 +87,7 @@ def build(df: DataFrame, id_col: str = "id", parent_col: str = "parent", slug_co
 
 
 def _hops(nodes: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """(top, id, step), and slugs, ids where lines are carried: id lies step levels below top, 1 <= step <= UNROLL."""
+    """(top, id, step), and slugs, ids where lines are carried: id lies step levels below top, 1 <= step <= UNROLL, or twice as often doubled."""
     more = [F.array("slug").alias("slugs"), F.array("id").alias("ids")] if carry else []
     step = nodes.where("parent <> 0").select(F.col("parent").alias("top"), "id", F.lit(1).alias("step"), *more)
     parts = [step]
@@ -100,13 +101,19 @@ def _hops(nodes: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return written(out, "tree-hops")
+    out = written(out, "tree-hops")
+    for k in range(0 if carry else DOUBLINGS):
+        most = UNROLL << k
+        on = out.where(F.col("step") == most).select("top", F.col("id").alias("mid"))
+        over = out.select(F.col("top").alias("mid"), "id", (F.col("step") + most).alias("step"))
+        out = written(out.unionByName(on.join(over, "mid").select("top", "id", "step")), "tree-hops")
+    return out
 
 
 def _levels(nodes: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """(id, carry...) of every node that a root reaches; line holds the ids from the root down.
 
-    A frontier row meets all nodes up to UNROLL levels below it. Ids are unique in the frontier, so a
+    A frontier row meets all nodes up to UNROLL levels below it, or UNROLL << DOUBLINGS where ids are all it carries. Ids are unique in the frontier, so a
     parent with very many children is skew on one side alone, which Spark splits.
     """
     spark = nodes.sparkSession
@@ -116,13 +123,13 @@ def _levels(nodes: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     hops = _hops(nodes, carry)
     frontier = written(roots.select("id", *[begin[c].alias(c) for c in carry]), "tree-level")
     further = {"root": F.col("root"), "depth": F.col("depth") + F.col("step"), "path": F.concat_ws("/", "path", F.concat_ws("/", "slugs")) if carry else F.lit(""), "line": F.concat("line", "ids") if carry else F.lit("")}
-    parts = [frontier]
+    parts, most = [frontier], UNROLL if carry else UNROLL << DOUBLINGS
     for _ in range(MAX_ROUNDS):
         below = frontier.withColumnRenamed("id", "top").join(hops, "top").select("id", *[further[c].alias(c) for c in carry], "step")
         path = fresh_path(spark, "tree-level")
         below.write.partitionBy("step").parquet(path)
         level = spark.read.schema(below.schema).parquet(path)
-        frontier = level.where(F.col("step") == UNROLL).drop("step")
+        frontier = level.where(F.col("step") == most).drop("step")
         parts.append(level.drop("step"))
         if frontier.isEmpty():
             break
