@@ -99,6 +99,15 @@ def small(df: DataFrame, max_rows: int = 10_000, max_bytes: int = 32 << 20) -> D
     return F.broadcast(df) if n <= max_rows and held <= max_bytes else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The scan `df` over all cores, if its files have fewer parts than there are cores; else as it is, without a shuffle.
+
+    For scans before work in Python, where a small table in one row group would keep one core busy.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def slices(batches, rows: int = 1000):
     """Batches of at most `rows` rows, so that what a function makes of one stays small."""
     for pdf in batches:
