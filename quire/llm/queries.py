@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import boilerplate, encoding, lookalike, mixing, packing, sitelines, spampages, splitting
 from quire.llm.tokens import VOCABULARY, n_tokens
-from quire.session import table, written
+from quire.session import spread, table, written
 
 
 def _clean_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,20 +47,20 @@ def p3_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(fetch_id) of the fetches whose text is garbled by a wrong encoding."""
     model = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
-    rows = table(spark, sf_dir, "fetches").select("fetch_id", "text", "content", "content_type")
+    rows = spread(table(spark, sf_dir, "fetches").select("fetch_id", "text", "content", "content_type"))
     return encoding.find_garbled(rows, model, content="content", content_type="content_type").select("fetch_id").distinct()
 
 
 def p4_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every fetch once with its restored text and the encoding pairs that were undone."""
     model = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
-    rows = table(spark, sf_dir, "fetches").select("fetch_id", "content", "content_type", "text")
+    rows = spread(table(spark, sf_dir, "fetches").select("fetch_id", "content", "content_type", "text"))
     return encoding.repair(rows, model, content_type="content_type").select("fetch_id", "restored", F.concat_ws(" ", "pairs").alias("pairs")).distinct()
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(extract_id, line_no) of lines repeated across a site. An extract's url is its article's source_url."""
-    return sitelines.repeated_lines(table(spark, sf_dir, "extracts"))
+    return sitelines.repeated_lines(spread(table(spark, sf_dir, "extracts").select("extract_id", "article_no", "url", "title", "markdown")))
 
 
 def p5_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def _small_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(extract_id, line_no, content, on_page): every non-blank line of small sites' extracts with P(content)."""
-    pages = table(spark, sf_dir, "fetches").where("ok").select("url", F.col("text").alias("html"), F.col("fetched_at").alias("at"))
+    pages = spread(table(spark, sf_dir, "fetches").where("ok").select("url", F.col("text").alias("html"), F.col("fetched_at").alias("at")))
     ex = _small_extracts(spark, sf_dir)
     chars = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
     all_ex = table(spark, sf_dir, "extracts").select("url", F.col("markdown").alias("text"))
@@ -103,7 +103,7 @@ def p6_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sizes(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
     """(doc_id, more..., tokens), tokens counted once and written."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", *more, "text"))
     return written(docs.select("doc_id", *more, n_tokens(F.col("text"), VOCABULARY).alias("tokens")).distinct(), "sizes")
 
 
@@ -129,13 +129,13 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id) of the documents that are keyword-stuffed or link lists."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return spampages.page_shares(docs, spampages.fit(docs)).where("spam").select("doc_id").distinct()
 
 
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The shares of prose, link lists, tag lists and menus in every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return spampages.page_shares(docs, spampages.fit(docs)).drop("text")
 
 
