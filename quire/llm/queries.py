@@ -186,8 +186,11 @@ def p8_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     largest = chosen.groupBy("source").agg(F.max("tokens").alias("largest"))
     whole = chosen.agg(F.sum(F.col("tokens") * F.col("copies")).alias("whole")).crossJoin(F.broadcast(largest.agg(F.sum("largest").alias("slack"))))
     wanted = targets.select(mixing.source_name(F.col("source")).alias("source"), "max_repeats")
-    j = shares.join(largest, "source", "left").join(wanted, "source").crossJoin(F.broadcast(whole))
-    off = F.abs(F.col("used") - F.col("target_share") * F.col("whole")) > F.coalesce("largest", F.lit(0)) + F.col("target_share") * F.col("slack") + 1
+    # sources without documents leave their share to the others
+    live = shares.where("available > 0").agg(F.sum("target_share").alias("live"))
+    j = shares.join(largest, "source", "left").join(wanted, "source").crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(live))
+    share = F.when(F.col("available") > 0, F.col("target_share") / F.col("live")).otherwise(0)
+    off = F.abs(F.col("used") - share * F.col("whole")) > F.coalesce("largest", F.lit(0)) + share * F.col("slack") + 1
     return j.select("source", "target_share", (F.col("times") > F.col("max_repeats")).alias("too_often"), off.alias("off"))
 
 
