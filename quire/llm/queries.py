@@ -181,9 +181,10 @@ def p7_held(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_held(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source, target_share, too_often, off): whether a source is used more than it may, or its share is off by more than a document of each source explains."""
     targets = table(spark, sf_dir, "mix_targets")
-    chosen, shares = mixing.mix(_sizes(spark, sf_dir, "source"), targets)
+    sizes = _sizes(spark, sf_dir, "source")
+    chosen, shares = mixing.mix(sizes, targets)
     chosen = written(chosen, "mixed")
-    largest = chosen.groupBy("source").agg(F.max("tokens").alias("largest"))
+    largest = sizes.groupBy(mixing.source_name(F.col("source")).alias("source")).agg(F.max("tokens").alias("largest")).join(targets.select(mixing.source_name(F.col("source")).alias("source")), "source", "left_semi")
     whole = chosen.agg(F.sum(F.col("tokens") * F.col("copies")).alias("whole")).crossJoin(F.broadcast(largest.agg(F.sum("largest").alias("slack"))))
     wanted = targets.select(mixing.source_name(F.col("source")).alias("source"), "max_repeats")
     # sources without documents leave their share to the others
