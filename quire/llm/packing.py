@@ -99,10 +99,11 @@ def pack(items: DataFrame, profiles: DataFrame, key: str, size: str, capacity: s
     items = items.where(F.col(key).isNotNull())
     n = items.count()
     groups = max(1, round(n / group_items))
-    limits = profiles.select(F.col(profile).alias("profile"), F.col(capacity).cast("long").alias("capacity")).where("capacity > 0").distinct()
-    rows = (
-        items.select(F.col(key).alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).alias("grp"))
-        .crossJoin(small(limits, 1000))
+    # profiles are parameters: each item names all of them, without a join
+    limits = profiles.select(F.col(profile).alias("profile"), F.col(capacity).cast("long").alias("capacity")).where("capacity > 0").distinct().orderBy("profile", "capacity").collect()
+    each = F.array(*[F.struct(F.lit(r.profile).alias("profile"), F.lit(r.capacity).alias("capacity")) for r in limits]) if limits else F.array().cast("array<struct<profile:string,capacity:bigint>>")
+    rows = items.select(
+        F.col(key).alias("key"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size"), F.pmod(F.xxhash64(F.col(key)), F.lit(groups)).alias("grp"), F.inline(each)
     )
     kind = rows.schema["key"].dataType.simpleString()
 
