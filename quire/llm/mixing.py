@@ -12,7 +12,8 @@ spread over the others in proportion and reported as 0.
 
 Names of sources are compared without case, blanks and the kind of separator. Documents of other or
 NULL sources take no part. NULL texts have no tokens; documents without tokens are taken like others.
-Only sums per source and bucket reach the driver: sources x 2^BITS rows at most.
+Only sums per source and bucket reach the driver, at most SOURCES x 2^BITS rows at a time; more
+sources than that are worked off in turns.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 
 from quire.session import small, written
 
-#: Bits of the hash a histogram resolves at once, and the most sources a mixture may have.
-BITS, MAX_SOURCES = 9, 1000
+#: Bits of the hash a histogram resolves at once, and the sources whose histograms the driver holds at a time.
+BITS, SOURCES = 9, 1000
 _LOW = -(1 << 63)
 
 
@@ -44,29 +45,19 @@ class Plan:
     available: dict[str, int]
 
 
-def plan(sizes: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None) -> Plan:
-    """Budgets and thresholds for `sizes` (source, h, tokens)."""
+def _sums(sizes: DataFrame, shift: int) -> dict[str, dict[int, int]]:
+    """Tokens by source and bucket of the hash."""
+    out: dict[str, dict[int, int]] = {}
+    for r in sizes.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("tokens").alias("t")).collect():
+        out.setdefault(r.source, {})[r.b] = r.t
+    return out
 
-    def histogram(df: DataFrame, shift: int) -> dict[str, dict[int, int]]:
-        rows = df.groupBy("source", F.shiftright("h", shift).alias("b")).agg(F.sum("tokens").alias("t")).collect()
-        out: dict[str, dict[int, int]] = {}
-        for r in rows:
-            out.setdefault(r.source, {})[r.b] = r.t
-        return out
 
-    shift = 64 - BITS
-    level = histogram(sizes, shift)
-    available = {s: sum(level.get(s, {}).values()) for s in targets}
-    live = {s: v for s, v in targets.items() if available[s] > 0 and v[0] and v[1]}
-    whole = sum(v[0] for v in live.values())
-    share = {s: v[0] / whole for s, v in live.items()}
-    most = min((live[s][1] * available[s] / share[s] for s in live), default=0.0)
-    most = min(most, total) if total is not None else most
-    budget = {s: share[s] * most for s in live}
-    copies = {s: min(live[s][1], int(budget[s] / available[s] + 1e-9)) for s in live}
-    rest = {s: max(0.0, budget[s] - copies[s] * available[s]) if copies[s] < live[s][1] else 0.0 for s in live}
-    below = dict.fromkeys(live, _LOW)
-    todo = {s for s in live if rest[s] > 0}
+def thresholds(sizes: DataFrame, rest: dict[str, float]) -> dict[str, int]:
+    """For each source the hash below which its documents hold about `rest` tokens; only the bucket it lies in is refined."""
+    rest, below, shift = dict(rest), dict.fromkeys(rest, _LOW), 64 - BITS
+    todo = {s for s in rest if rest[s] > 0}
+    level = _sums(sizes, shift) if todo else {}
     while todo:
         edge: dict[str, int] = {}
         for s in todo:
@@ -89,28 +80,46 @@ def plan(sizes: DataFrame, targets: dict[str, tuple[float, int]], total: float |
             at = at | ((F.col("source") == s) & (F.col("h") >= (b << shift)) & (F.col("h") <= ((b + 1) << shift) - 1))
             below[s] = b << shift
         shift = max(0, shift - BITS)
-        level = histogram(sizes.where(at), shift)
+        level = _sums(sizes.where(at), shift)
         todo = set(edge)
+    return below
+
+
+def plan(sizes: DataFrame, targets: dict[str, tuple[float, int]], total: float | None = None, at_once: int = SOURCES) -> Plan:
+    """Budgets and thresholds for `sizes` (source, h, tokens)."""
+    available = dict.fromkeys(targets, 0) | {r.source: r.t for r in sizes.groupBy("source").agg(F.sum("tokens").alias("t")).collect()}
+    live = {s: v for s, v in targets.items() if available[s] > 0 and v[0] and v[1]}
+    whole = sum(v[0] for v in live.values())
+    share = {s: v[0] / whole for s, v in live.items()}
+    most = min((live[s][1] * available[s] / share[s] for s in live), default=0.0)
+    most = min(most, total) if total is not None else most
+    budget = {s: share[s] * most for s in live}
+    copies = {s: min(live[s][1], int(budget[s] / available[s] + 1e-9)) for s in live}
+    rest = {s: max(0.0, budget[s] - copies[s] * available[s]) if copies[s] < live[s][1] else 0.0 for s in live}
+    below: dict[str, int] = {}
+    names = sorted(live)
+    for i in range(0, len(names), at_once):
+        turn = names[i : i + at_once]
+        below |= thresholds(sizes if len(names) <= at_once else sizes.where(F.col("source").isin(*turn)), {s: rest[s] for s in turn})
     return Plan(copies, below, budget, available)
 
 
-def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", tokens: str = "tokens", total: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chosen, shares).
+def mix(docs: DataFrame, targets: DataFrame, key: str = "doc_id", source: str = "source", tokens: str = "tokens", total: float | None = None, at_once: int = SOURCES) -> tuple[DataFrame, DataFrame]:
+    """(chosen, shares). `targets` are parameters; the driver reads them.
 
     chosen: (key, source, tokens, copies), copies > 0. shares: (source, target_share, available,
     used, actual_share, times) for every source of `targets`; times is the largest number of copies.
     """
-    wanted = {r.s: (r.w, r.m) for r in targets.select(source_name(F.col("source")).alias("s"), F.col("target_share").alias("w"), F.col("max_repeats").alias("m")).where("s IS NOT NULL").limit(MAX_SOURCES + 1).collect()}
-    if len(wanted) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    sizes = docs.select(F.col(key).alias("key"), source_name(F.col(source)).alias("source"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("tokens")).where(F.col("source").isin(*wanted) if wanted else F.lit(False))
-    sizes = written(sizes.distinct().withColumn("h", F.xxhash64("key")), "mix-sizes")
-    p = plan(sizes, wanted, total)
+    wanted = {r.s: (r.w, r.m) for r in targets.select(source_name(F.col("source")).alias("s"), F.col("target_share").alias("w"), F.col("max_repeats").alias("m")).where("s IS NOT NULL").collect()}
     spark = docs.sparkSession
+    names = spark.createDataFrame([(s,) for s in wanted], "source string")
+    sizes = docs.select(F.col(key).alias("key"), source_name(F.col(source)).alias("source"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("tokens")).join(small(names), "source", "left_semi")
+    sizes = written(sizes.distinct().withColumn("h", F.xxhash64("key")), "mix-sizes")
+    p = plan(sizes, wanted, total, at_once)
     rows = [(s, p.copies[s], p.below[s] - 1 if p.below[s] > _LOW else None) for s in p.copies]
     per = spark.createDataFrame(rows, "source string, n int, upto long")
     copies = F.col("n") + F.when(F.col("h") <= F.col("upto"), 1).otherwise(0)
-    chosen = sizes.join(small(per, MAX_SOURCES), "source").withColumn("copies", copies.cast("int")).where("copies > 0").select(F.col("key").alias(key), "source", "tokens", "copies")
+    chosen = sizes.join(small(per), "source").withColumn("copies", copies.cast("int")).where("copies > 0").select(F.col("key").alias(key), "source", "tokens", "copies")
     used = chosen.groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("used"), F.max("copies").alias("times"))
     goal = spark.createDataFrame([(s, float(w or 0), int(p.available.get(s, 0))) for s, (w, _) in wanted.items()], "source string, target_share double, available long")
     whole = used.agg(F.sum("used").alias("whole"))

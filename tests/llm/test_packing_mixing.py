@@ -98,3 +98,12 @@ def test_ties_nulls_empty(spark):
     assert chosen == [] and s["a"].actual_share == 0
     chosen, s = mixture(spark, rows, [])
     assert chosen == [] and s == {}
+
+
+def test_sources_in_turns(spark):
+    """More sources than the driver holds at a time give the same mixture."""
+    rows = [(i, f"s{i % 7}", 1 + i % 11) for i in range(1400)]
+    t = [(f"s{k}", 0.1 + 0.01 * k, 1 + k % 3) for k in range(7)]
+    want, _ = mixture(spark, rows, t)
+    got, _ = mixture(spark, rows, t, at_once=2)
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
