@@ -7,6 +7,7 @@ import random
 import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -163,3 +164,34 @@ def prompt(title: Column, style: Column, bg: Column, accent: Column) -> Column:
     """A request for a cover's background, without any text on it."""
     mood = F.when(style == "editorial", "modern editorial publishing, bold and confident").when(style == "classic", "timeless classic literature, refined").when(style == "minimal", "ultra minimal, much empty space, quiet").otherwise("contemporary trade paperback, graphic and clean")
     return F.format_string('An abstract cover in the spirit of "%s". %s. Dominant color %s, accent %s. Vertical, 2:3, room for a title above and below. No text, letters, numbers, logos or watermarks.', shorten(title, 60), mood, bg, accent)
+
+
+# Colours of text on dark and on light ground, and the brightness between them.
+ON_DARK, ON_LIGHT, BRIGHT = (250, 248, 244), (20, 22, 26), 138.0
+
+
+def rgb(color: str) -> tuple[int, int, int]:
+    """The parts of a colour written as #rgb or #rrggbb."""
+    h = color.removeprefix("#")
+    h = "".join(x + x for x in h) if len(h) == 3 else h
+    return tuple(bytes.fromhex(h))
+
+
+def luma(color: tuple[int, int, int]) -> float:
+    """Relative brightness from 0 to 1, by the usual weights of linear light."""
+    linear = [x / 12.92 if x <= 0.03928 else ((x + 0.055) / 1.055) ** 2.4 for x in (c / 255 for c in color)]
+    return sum(w * x for w, x in zip((0.2126, 0.7152, 0.0722), linear))
+
+
+def region_luma(pixels: np.ndarray, box: tuple[int, int, int, int]) -> float:
+    """The mean brightness, 0 to 255, of the part of an image (rows, columns, RGB or grey) inside a box; 128 of nothing."""
+    x0, y0, x1, y1 = (max(0, int(v)) for v in box)
+    part = pixels[y0:y1, x0:x1].astype(float)
+    if not part.size:
+        return 128.0
+    return float((part @ np.array([0.299, 0.587, 0.114]) if part.ndim == 3 else part).mean())
+
+
+def text_color(pixels: np.ndarray, box: tuple[int, int, int, int]) -> tuple[int, int, int]:
+    """The colour of text that can be read in a box of an image."""
+    return ON_LIGHT if region_luma(pixels, box) > BRIGHT else ON_DARK

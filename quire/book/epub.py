@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from quire.book.typeset import chapter, counts, css, esc, page
 from quire.functions.text import cn_number
-from quire.functions.url import MIME_BY_EXT
+from quire.functions.url import MIME_BY_EXT, netloc
 
 #: Chapters in one file; more make further volumes.
 MAX_CHAPTERS = 20_000
+#: Hosts that a book names as its sources.
+SOURCES = 8
 _SRC = re.compile(r'src="([^"]+)"')
 CONTAINER = '<?xml version="1.0"?>\n<container version="1.0" xmlns="urn:oasis:names:tc:opendocument:xmlns:container"><rootfiles><rootfile full-path="OEBPS/content.opf" media-type="application/oebps-package+xml"/></rootfiles></container>\n'
 
@@ -28,6 +30,7 @@ class Volume:
         self.title = str(book.get("title") or "") + (f" {no}" if no > 1 else "")
         self.files: list[tuple[str, str, str]] = []  # name, title, kind
         self.held: list[str] = []
+        self.sources: list[str] = []
         self.chapters = self.words = 0
         self.z = zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED)
         self.z.writestr(zipfile.ZipInfo("mimetype"), "application/epub+zip", zipfile.ZIP_STORED)
@@ -51,8 +54,9 @@ class Volume:
             self.held.append(image)
 
     def close(self) -> None:
-        note = f'<section class="copyright-page"><p>{esc(self.title)}</p><p>{counts(0, self.chapters, self.words)}</p><p>{esc(self.book.get("rights"))}</p></section>'
-        self.add("copyright.xhtml", "版权信息", "front", page("版权信息", note, self.lang))
+        said = [self.title, f"{self.book['author']} 著" if self.book.get("author") else "", self.book.get("description"), counts(0, self.chapters, self.words), "内容来源：" + "、".join(self.sources) if self.sources else "", self.book.get("rights")]
+        note = "".join(f"<p>{esc(x)}</p>" for x in said if x)
+        self.add("copyright.xhtml", "版权信息", "front", page("版权信息", f'<section class="copyright-page">{note}</section>', self.lang))
         self.z.writestr("OEBPS/Text/nav.xhtml", nav(self.files, self.lang))
         self.z.writestr("OEBPS/content.opf", package(self.files, self.held, self.book | {"title": self.title}, self.lang))
         self.z.close()
@@ -83,6 +87,7 @@ def publish(spine: DataFrame, chapters: DataFrame, path: str, book: dict, theme:
     """
     lang, images = book.get("language", "zh-CN"), images or {}
     rows = sized(spine, chapters).orderBy("spine_no")
+    hosts = [r.h for r in spine.where("kind = 'chapter'").select(netloc(F.col("url")).alias("h")).where("h <> ''").distinct().orderBy("h").limit(SOURCES).collect()]
     done: list[Volume] = []
     head: dict[str, tuple[str, str, str]] = {}
 
@@ -96,6 +101,7 @@ def publish(spine: DataFrame, chapters: DataFrame, path: str, book: dict, theme:
         if no > 1:
             for name, (title, kind, text) in head.items():
                 v.add(name, title, kind, text)
+        v.sources = hosts
         done.append(v)
         return v
 

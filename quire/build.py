@@ -52,8 +52,7 @@ def fetch_stage(
     if images:
         got = _with_images(spark, archive, got, transport, delay, jitter, max_width)
     got = TT.clean_titles(got, F.lit(site_name), "title", [], "seq", "title_")
-    name = F.initcap(F.translate(F.regexp_extract("url", r"([^/?#]+?)(?:\.\w+)?/?(?:[?#].*)?$", 1), "-_", "  "))
-    got = got.withColumn("title", F.when(F.col("title_") != "", F.col("title_")).otherwise(name)).drop("title_")
+    got = got.withColumn("title", F.when(F.col("title_") != "", F.col("title_")).otherwise(U.title_of_url(F.col("url")))).drop("title_")
     got = A.ordered(got, order, "seq").withColumn("slug", A.slugs_of(F.col("title"), F.col("url")))
     start = old.agg(F.coalesce(F.max("idx"), F.lit(0))).first()[0]
     got = A.unique_slugs(got, "slug", "pos", "id", old.select(F.col("id").alias("slug")))
@@ -74,8 +73,10 @@ def fetch_stage(
     if plan is not None:
         archive.write_plan(G.renumber(G.kept(plan, now.select(F.col("source_url").alias("url")))))
     report = _report(pages, got, now, time.monotonic() - began)
+    told = report.first()
+    archive.set_stats(articles=told.articles_total, words=told.words_total)
     archive.write_report("quality-report", report)
-    archive.record_stage("fetch", report.first().asDict())
+    archive.record_stage("fetch", told.asDict())
     return report
 
 
@@ -96,6 +97,8 @@ def _with_images(spark: SparkSession, archive: Archive, got: DataFrame, transpor
             p.write_bytes(bytes(r.content))
 
     stored.where("name IS NOT NULL").join(pics.select("url", "content"), "url").select("name", "content").dropDuplicates(["name"]).foreachPartition(save)
+    sizes = stored.where("name IS NOT NULL").join(pics.select("url", F.length("content").cast("long").alias("size")), "url").groupBy("name").agg(F.max("size").alias("size"), F.min("url").alias("source_url"))
+    archive.add_assets(spark, sizes.select(F.concat(F.lit("assets/"), "name").alias("path"), "size", F.lit("image").alias("kind"), "source_url"))
     named = refs.join(stored.where("name IS NOT NULL").select(F.col("url").alias("src"), "name"), "src").groupBy("url").agg(F.array_sort(F.collect_set(F.concat(F.lit("assets/"), "name"))).alias("assets"))
     r = refs.select(F.col("url").alias("id"), "placeholder", F.col("src").alias("url"))
     done = FE.rewrite_images(got.withColumnRenamed("url", "id"), r, stored, "id").withColumnRenamed("id", "url")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import urllib.parse
+from pathlib import PurePosixPath
 
 import pandas as pd
 from pyspark.sql import Column
@@ -128,3 +130,21 @@ def image_refs(sources: Column, base: Column) -> Column:
         return pd.Series([[{"src": x, "url": full(x, at)} for x in (xs if xs is not None else [])] for xs, at in zip(s, b)], dtype="object")
 
     return run(sources, base)
+
+
+def title_of_url(c: Column) -> Column:
+    """A title made of an address: the name of its last part without extension, or of its host, in words."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        def one(u: str | None) -> str:
+            try:
+                p = urllib.parse.urlsplit(u or "")
+            except ValueError:
+                return u or ""
+            name = PurePosixPath(p.path).stem or p.netloc
+            return re.sub("[-_]+", " ", name).strip().title() or (u or "")
+
+        return s.map(one)
+
+    return run(c)

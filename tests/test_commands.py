@@ -182,3 +182,54 @@ def test_volumes(spark, tmp_path):
             assert "OEBPS/Images/n.png" in names and any("part" in n for n in names)
             seen += [n for n in names if "chap" in n]
     assert len(seen) == len(set(seen)) == 10
+
+
+def test_titles_of_addresses_and_headings(spark):
+    from quire.functions import text as T
+
+    urls = ["https://a.b/one-two_three.html", "https://a.b/", "https://a.b/x/it's-4th", None, ""]
+    got = [r.t for r in spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, u string").orderBy("i").select(U.title_of_url(F.col("u")).alias("t")).collect()]
+    assert got == ["One Two Three", "A.B", "It'S 4Th", "", ""]
+    h = spark.createDataFrame([(1, "<p>x</p><H1 class=a> A <b>b</b>\n</H1><h1>no</h1>"), (2, None), (3, "none")], "i int, h string").orderBy("i").select(T.first_heading(F.col("h")).alias("t")).collect()
+    assert [r.t for r in h] == ["A b", "", ""]
+
+
+def test_stats_assets_and_paths(spark, tmp_path):
+    from quire.operators.archive import relative
+
+    ar = Archive(str(tmp_path / "a"))
+    ar.set_stats(words=3)
+    ar.set_stats(articles=1)
+    assert ar.stats == {"words": 3, "articles": 1}
+    kind = "path string, size long, kind string, source_url string"
+    ar.add_assets(spark, spark.createDataFrame([("assets/a", 5, "image", "u1"), ("assets/b", 7, "image", "u2")], kind))
+    ar.add_assets(spark, spark.createDataFrame([("assets/a", 0, "other", "u9"), ("assets/b", 9, "other", "u9"), ("assets/c", 1, "image", "u3")], kind))
+    got = {r.path: (r.size, r.kind, r.source_url) for r in ar.table(spark, "assets").collect()}
+    assert got == {"assets/a": (5, "image", "u1"), "assets/b": (9, "image", "u2"), "assets/c": (1, "image", "u3")}
+    assert relative(tmp_path / "a/x/y", tmp_path / "a") == "x/y" and relative("/elsewhere", tmp_path) == "/elsewhere"
+
+
+def test_headed_blog():
+    from quire.operators import extract as X
+    from quire.sources.adapters import headed_blog
+
+    body = "<p>正文第一段，讲的是水壶的故事。</p>" * 20
+    page = f"<html><header class='article-header'><h1>题目</h1><ul class='article-meta'><li>阿吉 发布于 2020-3-4</li><li>阅读 9</li></ul></header><article class='article-content'>{body}<h2>小节</h2><div class='post-copyright'>转载</div></article></html>"
+    a = headed_blog(["b.example"])
+    got = X.extract_page(page, "https://b.example/1", a)
+    assert (got["title"], got["author"], got["published_at"]) == ("题目", "阿吉", "2020-3-4") and "### 小节" in got["markdown"] and "转载" not in got["markdown"]
+    locked = X.extract_page("<article class='article-content'><form class='post-password-form'><input></form></article>", "https://b.example/2", a)
+    assert "受密码保护" in locked["markdown"] and a.entry_urls("https://b.example/") == ["https://b.example/wp-sitemap-posts-post-1.xml"]
+
+
+def test_colours():
+    import numpy as np
+
+    from quire.book import cover as C
+
+    assert C.rgb("#fff") == (255, 255, 255) and C.rgb("0d1b2a") == (13, 27, 42)
+    assert abs(C.luma((255, 255, 255)) - 1) < 1e-9 and C.luma((0, 0, 0)) == 0
+    img = np.zeros((10, 10, 3), np.uint8)
+    img[:, 5:] = 255
+    assert C.region_luma(img, (5, 0, 99, 10)) == 255 and C.region_luma(img, (0, 0, 10, 10)) == 127.5 and C.region_luma(img, (3, 3, 3, 3)) == 128
+    assert C.text_color(img, (0, 0, 5, 10)) == C.ON_DARK and C.text_color(img, (5, 0, 10, 10)) == C.ON_LIGHT
