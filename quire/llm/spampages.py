@@ -152,6 +152,21 @@ def hinted(w: list[str], f: tuple[int, ...]) -> int | None:
     return None
 
 
+class Sample:
+    """The units of pages as numbers: page, shape and code of each unit, and (unit, word) of each different word in it."""
+
+    def __init__(self, pages: list[list]):
+        units = [(w, f) for page in pages for _, w, f in page]
+        self.page = np.repeat(np.arange(len(pages)), [len(page) for page in pages])
+        self.code = np.array([f is None for _, f in units], bool)
+        self.shape = np.array([f or (0,) * len(WIDTHS) for _, f in units], np.int64).reshape(-1, len(WIDTHS))
+        ids: dict[str, int] = {}
+        each = [[ids.setdefault(x, len(ids)) for x in set(w)] for w, _ in units]
+        self.unit = np.repeat(np.arange(len(units)), [len(x) for x in each])
+        self.word = np.fromiter(chain.from_iterable(each), np.int64, len(self.unit))
+        self.words = list(ids)
+
+
 class Model:
     """Emissions and transitions, in logarithms."""
 
@@ -165,56 +180,48 @@ class Model:
 
     def fit(self, pages: list[list]) -> None:
         hints = [[PROSE if f is None else hinted(w, f) for _, w, f in page] for page in pages]
-        self.power = self.best_power(pages, hints)
-        self.estimate(pages, hints)
+        sample = Sample(pages)
+        told = np.array([-1 if h is None else h for hs in hints for h in hs], np.int64)
+        self.power = self.best_power(sample, told, pages)
+        self.estimate(sample, told)
         for _ in range(ROUNDS):
-            self.estimate(pages, [self.label(page, own) for page, own in zip(pages, hints)])
+            self.estimate(sample, np.array([s for page, own in zip(pages, hints) for s in self.label(page, own)], np.int64))
 
-    def best_power(self, pages: list[list], hints: list[list]) -> float:
+    def best_power(self, sample: Sample, told: np.ndarray, pages: list[list]) -> float:
         """The power under which words alone best tell the hinted units of every other page, learned on the rest."""
-        self.estimate(pages[::2], hints[::2])
-        held = [(w, h) for page, hs in zip(pages[1::2], hints[1::2]) for (_, w, f), h in zip(page, hs) if f is not None and h is not None and w]
-        known = [(e, len(w), h) for e, (w, h) in zip(self.evidence([w for w, _ in held]).tolist(), held)]
+        odd = sample.page % 2 == 1
+        self.estimate(sample, np.where(odd, -1, told))
+        sizes = np.array([len(w) for page in pages for _, w, _ in page], np.int64)
+        held = np.flatnonzero(odd & (told >= 0) & ~sample.code & (sizes > 0))
+        if not len(held):
+            return self.power
+        units = [w for page in pages for _, w, _ in page]
+        e, h = self.evidence([units[i] for i in held]), told[held]
 
         def likelihood(power: float) -> float:
-            out = 0.0
-            for e, k, h in known:
-                x = [v * k**power for v in e]
-                top = max(x)
-                out += x[h] - top - math.log(sum(math.exp(v - top) for v in x))
-            return out
-
-        return max(self.POWERS, key=likelihood) if known else self.power
-
-    def estimate(self, pages: list[list], labels: list[list]) -> None:
-        words_of = [Counter() for _ in STATES]
-        shapes = [np.ones((len(STATES), n)) for n in WIDTHS]
-        trans = np.ones((len(STATES), len(STATES)))
-        for page, ls in zip(pages, labels):
-            before = None
-            for (_, w, f), s in zip(page, ls):
-                if s is None:
-                    before = None
-                    continue
-                if f is not None:
-                    words_of[s].update(set(w))
-                    for k, v in enumerate(f):
-                        shapes[k][s, v] += 1
-                if before is not None:
-                    trans[before, s] += 1
-                before = s
+            x = e * (sizes[held] ** power)[:, None]
+            return float((x[np.arange(len(h)), h] - np.logaddexp.reduce(x, axis=1)).sum())
+
+        return max(self.POWERS, key=likelihood)
+
+    def estimate(self, sample: Sample, labels: np.ndarray) -> None:
+        """From units with labels; -1 is none."""
+        k, plain = len(STATES), (labels >= 0) & ~sample.code
+        shapes = [1.0 + np.bincount(labels[plain] * n + sample.shape[plain, i], minlength=k * n).reshape(k, n) for i, n in enumerate(WIDTHS)]
+        both = (labels[:-1] >= 0) & (labels[1:] >= 0) & (sample.page[:-1] == sample.page[1:])
+        trans = 1.0 + np.bincount(labels[:-1][both] * k + labels[1:][both], minlength=k * k).reshape(k, k)
         self.known: dict[tuple[int, ...], tuple[float, ...]] = {}
         self.trans = np.log(trans / trans.sum(1, keepdims=True))
         self.shapes = [np.log(x / x.sum(1, keepdims=True)) for x in shapes]
-        seen = Counter()
-        for c in words_of:
-            seen.update(c)
-        sums, v = [sum(c.values()) + 0.5 * (len(seen) + 1.0) for c in words_of], self.CLIP
+        on, n = plain[sample.unit], len(sample.words)
+        counts = np.bincount(labels[sample.unit[on]] * n + sample.word[on], minlength=k * n).reshape(k, n).T
+        seen = counts.sum(1)
+        sums = counts.sum(0) + 0.5 * (np.count_nonzero(seen) + 1.0)
         # word numbers, and a row of weights for each; row 0 is that of unknown words
-        often = [w for w, n in seen.items() if n > 1]
-        self.ids = {w: i for i, w in enumerate(often, 1)}
-        x = np.log((np.array([[c[w] for c in words_of] for w in often]).reshape(-1, len(STATES)) + 0.5) / np.array(sums))
-        self.weight = np.vstack([np.zeros(len(STATES)), np.clip(x - x.mean(1, keepdims=True), -v, v)])
+        often = np.flatnonzero(seen > 1)
+        self.ids = {sample.words[w]: i for i, w in enumerate(often, 1)}
+        x = np.log((counts[often] + 0.5) / sums)
+        self.weight = np.vstack([np.zeros(k), np.clip(x - x.mean(1, keepdims=True), -self.CLIP, self.CLIP)])
 
     def evidence(self, units: list[list[str]]) -> np.ndarray:
         """The mean weight of each unit's words in each state; units without words have none."""
