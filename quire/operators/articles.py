@@ -58,9 +58,10 @@ def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
 def unique_slugs(items: DataFrame, slug: str = "slug", seq: str = "seq", out: str = "id", used: DataFrame | None = None) -> DataFrame:
     """`items` with `out`: the slug, or the first of slug-2, slug-3, ... that no earlier item has taken.
 
-    `used` (slug) are taken from the start. Slugs that can't meet, as no other of their stem carries a
-    number, are ranked without gathering a group. The rest stream in order, a stem at a time, with
-    only the numbers taken in memory.
+    `used` (slug) are taken from the start. Slugs that can't meet are named without gathering a group: where
+    no other of their stem carries a number they are ranked, and those that neither repeat themselves nor
+    continue one that does keep their slug. The rest stream in order, a stem at a time, with only the
+    numbers taken in memory; a stem whose plain slug repeats beside numbered ones is one task's work.
     """
     rows = items.select(F.col(seq).alias("seq"), F.col(slug).alias("slug"))
     if used is not None:
@@ -101,10 +102,17 @@ def unique_slugs(items: DataFrame, slug: str = "slug", seq: str = "seq", out: st
                 got.append((q, f"{s}-{n}"))
             yield pd.DataFrame(got, columns=["seq", out])
 
+    # a slug meets others if it, or one that it continues by numbers, is taken more than once
+    some = rows.join(numbered, "stem", "left_semi")
+    twice = rows.groupBy("slug").agg(((F.count("*") > 1) | F.max("old")).alias("twice")).where("twice").select(F.col("slug").alias("base"))
+    ends = F.size(F.split(F.regexp_extract("slug", r"((?:-\d+)*)$", 1), "-")) - 1
+    bases = F.transform(F.sequence(F.lit(0), ends), lambda k: F.regexp_replace("slug", F.concat(F.lit(r"(?:-\d+){"), k.cast("string"), F.lit("}$")), F.lit("")))
+    touched = some.select("slug").distinct().select("slug", F.explode(bases).alias("base")).join(twice, "base", "left_semi").select("slug").distinct()
+    alone = some.where("NOT old").join(touched, "slug", "left_anti").select("seq", F.col("slug").alias(out))
     # by a hash of the stem: a union of parts hashed by the stem itself would count as spread already
-    met = rows.join(numbered, "stem", "left_semi").repartition(F.xxhash64("stem")).sortWithinPartitions("stem", F.col("old").desc(), "seq")
+    met = some.join(touched, "slug", "left_semi").select(rows.columns).repartition(F.xxhash64("stem")).sortWithinPartitions("stem", F.col("old").desc(), "seq")
     kind = rows.schema["seq"].dataType.simpleString()
-    names = calm.unionByName(met.mapInPandas(run, f"seq {kind}, {out} string"))
+    names = calm.unionByName(alone).unionByName(met.mapInPandas(run, f"seq {kind}, {out} string"))
     return items.join(names.withColumnRenamed("seq", "_seq"), F.col(seq) == F.col("_seq")).drop("_seq")
 
 
