@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from quire.html.dom import Node
@@ -55,10 +56,19 @@ def text_of(n: Node) -> str:
     return tidy(_TAG.sub("", n.text()))
 
 
-def link_density(n: Node, size: int | None = None) -> float:
+class Texts(dict):
+    """Nodes to their texts, each made once."""
+
+    def __missing__(self, n: Node) -> str:
+        t = self[n] = text_of(n)
+        return t
+
+
+def link_density(n: Node, texts: Texts | None = None) -> float:
     """Share of the text inside links; 0 for very short texts."""
-    size = len(text_of(n)) if size is None else size
-    return sum(len(text_of(a)) for a in n.find("a")) / size if size >= 40 else 0.0
+    texts = Texts() if texts is None else texts
+    size = len(texts[n])
+    return sum(len(texts[a]) for a in n.find("a")) / size if size >= 40 else 0.0
 
 
 def prune(root: Node) -> None:
@@ -74,25 +84,27 @@ def prune(root: Node) -> None:
 
 
 def _is_link_list(n: Node) -> bool:
-    size = len(text_of(n))
-    return size < 800 and link_density(n, size) > 0.7
+    texts = Texts()
+    return len(texts[n]) < 800 and link_density(n, texts) > 0.7
+
+
+# What a property of a node is worth, up to a bound on the property; then what its names are worth.
+WORTH = {"text": (1 / 12, 24000), "in paragraphs": (1 / 20, 24000), "paragraphs": (2.0, 60), "marks": (0.5, 600), "link share": (-200.0, math.inf), "links over 30": (-3.0, math.inf), "without marks": (-90.0, 1), "named content": (70.0, 1), "named otherwise": (-120.0, 1), "body": (-45.0, 1)}
+SHORT = 120
 
 
-def score(n: Node) -> float:
+def score(n: Node, texts: Texts | None = None) -> float:
     """How much a node looks like main content: length, paragraphs, punctuation, less links; negative for short ones."""
-    text = text_of(n)
-    size = len(text)
-    if size < 120:
+    texts = Texts() if texts is None else texts
+    size = len(texts[n])
+    if size < SHORT:
         return -1.0
-    paragraphs = list(n.find("p"))
-    inside = sum(len(text_of(p)) for p in paragraphs)
-    marks = len(_PUNCT.findall(text))
-    s = min(size, 24000) / 12 + min(inside, 24000) / 20 + 2 * min(len(paragraphs), 60) + 0.5 * min(marks, 600)
-    s -= 90 if size > 400 and marks < 0.005 * size else 0
-    s -= 200 * link_density(n, size) + 3 * max(0, sum(1 for _ in n.find("a")) - 30)
-    s += 70 if CONTENT.search(names(n)) else 0
-    s -= 120 if BAD_CLASS.search(names(n)) else 0
-    return s - (45 if n.tag == "body" else 0)
+    paragraphs, links, marks, called = list(n.find("p")), sum(1 for _ in n.find("a")), len(_PUNCT.findall(texts[n])), names(n)
+    has = {
+        "text": size, "in paragraphs": sum(len(texts[p]) for p in paragraphs), "paragraphs": len(paragraphs), "marks": marks, "link share": link_density(n, texts), "links over 30": max(0, links - 30),
+        "without marks": size > 400 and marks < 0.005 * size, "named content": bool(CONTENT.search(called)), "named otherwise": bool(BAD_CLASS.search(called)), "body": n.tag == "body",
+    }
+    return sum(worth * min(has[k], most) for k, (worth, most) in WORTH.items())
 
 
 def strategies_of(n: Node) -> list[str]:
@@ -113,14 +125,14 @@ def find_content(root: Node, adapter=None) -> tuple[Node, float, str]:
             return got
     # among equals an earlier strategy wins, and in it the earlier node
     best: tuple | None = None
-    order = list(SEMANTIC)
+    order, texts = list(SEMANTIC), Texts()
     for at, n in enumerate(root.walk()):
         semantic = strategies_of(n)
         plain = n.tag in CANDIDATE_TAGS
         if not semantic and not plain:
             continue
-        s = score(n)
-        long = len(text_of(n)) >= 200
+        s = score(n, texts)
+        long = len(texts[n]) >= 200
         tries = [(s + SEMANTIC[k], -order.index(k), -at, k) for k in semantic if long] + ([(s, -len(order), -at, "heuristic")] if plain else [])
         for t in tries:
             if t[0] > -1.0 and (best is None or t[:3] > best[0][:3]):
