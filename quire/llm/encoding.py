@@ -61,8 +61,9 @@ JOIN = -6.0
 AGAIN, SEVERAL = -2.0, 3
 #: What entering a pair costs where another was left with nothing in between.
 SWITCH = -20.0
-#: States this far behind the best, in natural logarithms, are dropped.
-BEAM = 30.0
+#: States this far behind the best, in natural logarithms, are dropped; LAG counts once a state has said what it makes of a
+#: character that clean text has said its own of.
+BEAM, LAG = 30.0, 22.0
 #: Characters after which the part all paths share is put out.
 SETTLE = 4096
 #: The longest stretch whose labelling is kept for its next occurrence.
@@ -359,6 +360,7 @@ class Labeller:
             old = clean.get(i + 1)
             if old is None or node.score > old.score:
                 clean[i + 1] = node
+            after_this = clean[i + 1].score - LAG
             base = here.score + (JOIN if i and letter[i - 1] and letter[i] else 0.0) + (SWITCH if here.kind == OUT else 0.0)
             opens = base + (AGAIN if favoured else ENTER) >= least
             for whole, offs, gaps, at, eights, others, holed, live in groups:
@@ -372,9 +374,13 @@ class Labeller:
                         enter = base + (AGAIN if favoured and favoured.issuperset(state[1]) else state[2])
                         if enter < least:
                             continue
-                        # most writings have nothing to say from here on
-                        if state[0].first(whole, start) is None and not (holed and state[0] is utf8):
-                            continue
+                        # most writings have nothing to say from here on, or nothing likely
+                        got = state[0].first(whole, start)
+                        if got is None:
+                            if not (holed and state[0] is utf8):
+                                continue
+                        elif start + got[1] == stop and len(got[0]) == 1 and (got[0] == c or enter + logp(here.last, got[0]) < after_this):
+                            continue  # what reads the same can as well be clean
                         f = live.get(state)
                         if f is None:
                             live[state] = {start: Node(enter, here.last, here, IN, i)}
@@ -384,7 +390,6 @@ class Labeller:
                                 f[start] = Node(enter, here.last, here, IN, i)
                 if not live:
                     continue
-                after_this = clean[i + 1].score - BEAM
                 for state in list(live):
                     w, names, _ = state
                     f = live[state]
