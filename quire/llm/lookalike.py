@@ -176,7 +176,8 @@ def members(forms: DataFrame, by: list[str], key: str = "key", text: str = "text
     `class_key` is the smallest key of the look and names its class, `spelling_key` that of the spelling,
     which represents it. Rows of looks with one spelling are absent. NULL texts look like nothing.
     """
-    rows = forms.where(F.col(text).isNotNull()).select(*by, F.col(form).alias("form"), F.col(text).alias("spelling"), F.col(key).alias("key")).distinct()
+    # written, as the forms are used twice and each costs a search
+    rows = written(forms.where(F.col(text).isNotNull()).select(*by, F.col(form).alias("form"), F.col(text).alias("spelling"), F.col(key).alias("key")).distinct(), "forms")
     reps = rows.groupBy(*by, "form", "spelling").agg(F.min("key").alias("spelling_key"))
     several = reps.groupBy(*by, "form").agg(F.min("spelling_key").alias("class_key"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(reps.join(several, [*by, "form"]), [*by, "form", "spelling"]).select(*by, "form", "spelling", "class_key", "spelling_key", "key")
