@@ -62,13 +62,17 @@ def palette(title: str) -> dict[str, str]:
     return {"bg": bg, "accent": accent, "text": text}
 
 
+def rgb(color: str) -> tuple[int, int, int]:
+    """The parts of a colour written as #rgb or #rrggbb."""
+    h = color.removeprefix("#")
+    h = "".join(x + x for x in h) if len(h) == 3 else h
+    return tuple(bytes.fromhex(h))
+
+
 def luma(color: str) -> float:
-    """Relative luminance of #rgb or #rrggbb."""
-    s = color.lstrip("#")
-    s = "".join(c * 2 for c in s) if len(s) == 3 else s
-    r, g, b = (int(s[i : i + 2], 16) / 255 for i in (0, 2, 4))
-    lin = [x / 12.92 if x <= 0.03928 else ((x + 0.055) / 1.055) ** 2.4 for x in (r, g, b)]
-    return 0.2126 * lin[0] + 0.7152 * lin[1] + 0.0722 * lin[2]
+    """Relative brightness of a colour from 0 to 1, by the usual weights of linear light."""
+    linear = [x / 12.92 if x <= 0.03928 else ((x + 0.055) / 1.055) ** 2.4 for x in (c / 255 for c in rgb(color))]
+    return sum(w * x for w, x in zip((0.2126, 0.7152, 0.0722), linear))
 
 
 def width_of(s: str, size: float) -> float:
@@ -170,19 +174,6 @@ def prompt(title: Column, style: Column, bg: Column, accent: Column) -> Column:
 ON_DARK, ON_LIGHT, BRIGHT = (250, 248, 244), (20, 22, 26), 138.0
 
 
-def rgb(color: str) -> tuple[int, int, int]:
-    """The parts of a colour written as #rgb or #rrggbb."""
-    h = color.removeprefix("#")
-    h = "".join(x + x for x in h) if len(h) == 3 else h
-    return tuple(bytes.fromhex(h))
-
-
-def luma(color: tuple[int, int, int]) -> float:
-    """Relative brightness from 0 to 1, by the usual weights of linear light."""
-    linear = [x / 12.92 if x <= 0.03928 else ((x + 0.055) / 1.055) ** 2.4 for x in (c / 255 for c in color)]
-    return sum(w * x for w, x in zip((0.2126, 0.7152, 0.0722), linear))
-
-
 def region_luma(pixels: np.ndarray, box: tuple[int, int, int, int]) -> float:
     """The mean brightness, 0 to 255, of the part of an image (rows, columns, RGB or grey) inside a box; 128 of nothing."""
     x0, y0, x1, y1 = (max(0, int(v)) for v in box)

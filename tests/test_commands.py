@@ -228,7 +228,7 @@ def test_colours():
     from quire.book import cover as C
 
     assert C.rgb("#fff") == (255, 255, 255) and C.rgb("0d1b2a") == (13, 27, 42)
-    assert abs(C.luma((255, 255, 255)) - 1) < 1e-9 and C.luma((0, 0, 0)) == 0
+    assert abs(C.luma("#fff") - 1) < 1e-9 and C.luma("#000000") == 0
     img = np.zeros((10, 10, 3), np.uint8)
     img[:, 5:] = 255
     assert C.region_luma(img, (5, 0, 99, 10)) == 255 and C.region_luma(img, (0, 0, 10, 10)) == 127.5 and C.region_luma(img, (3, 3, 3, 3)) == 128
