@@ -80,16 +80,26 @@ def _small_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.withColumn("site", sitelines.site_of(F.col("url"))).join(few, "site", "left_semi").drop("site")
 
 
-def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(extract_id, line_no, content, on_page): every non-blank line of small sites' extracts with P(content)."""
+def _labelled(spark: SparkSession, sf_dir: str, ex: DataFrame) -> DataFrame:
+    """(extract_id, line_no, content, on_page) of the extracts `ex` (key, url, text)."""
     pages = spread(table(spark, sf_dir, "fetches").where("ok").select("url", F.col("text").alias("html"), F.col("fetched_at").alias("at")))
-    ex = _small_extracts(spark, sf_dir)
     chars = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
     all_ex = table(spark, sf_dir, "extracts").select("url", F.col("markdown").alias("text"))
     model = boilerplate.fit(pages.select("url", "html"), all_ex, chars)
     return boilerplate.label_lines(ex, pages, model).withColumnRenamed("key", "extract_id")
 
 
+def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(extract_id, line_no, content, on_page): every non-blank line of small sites' extracts with P(content)."""
+    return _labelled(spark, sf_dir, _small_extracts(spark, sf_dir))
+
+
+def p6_all_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(extract_id, line_no, content, on_page): every non-blank line of all extracts with P(content)."""
+    ex = table(spark, sf_dir, "extracts").select(F.col("extract_id").alias("key"), "url", F.col("markdown").alias("text"))
+    return _labelled(spark, sf_dir, spread(ex))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(extract_id, line_no) of the lines of small sites' extracts that are page furniture."""
     return p6_lines(spark, sf_dir).where("content < 0.5").select("extract_id", "line_no").distinct()
@@ -201,7 +211,7 @@ def p9_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("doc_id", F.round(F.col("prose") + F.col("links") + F.col("tags") + F.col("menu"), 6).alias("whole"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_cover": p1_cover, "p3_found": p3_found, "p3_forms": p3_forms, "p3_members": p3_members, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p5_left": p5_left, "p6_found": p6_found, "p6_lines": p6_lines, "p6_cleaned": p6_cleaned, "p6_covered": p6_covered, "p7_pack": p7_pack, "p7_report": p7_report, "p7_held": p7_held, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_held": p8_held, "p9_found": p9_found, "p9_shares": p9_shares, "p9_whole": p9_whole}
+QUERIES = {"p1_found": p1_found, "p1_pieces": p1_pieces, "p1_cover": p1_cover, "p3_found": p3_found, "p3_forms": p3_forms, "p3_members": p3_members, "p4_found": p4_found, "p4_restored": p4_restored, "p5_found": p5_found, "p5_cleaned": p5_cleaned, "p5_left": p5_left, "p6_found": p6_found, "p6_lines": p6_lines, "p6_all_lines": p6_all_lines, "p6_cleaned": p6_cleaned, "p6_covered": p6_covered, "p7_pack": p7_pack, "p7_report": p7_report, "p7_held": p7_held, "p8_mix": p8_mix, "p8_shares": p8_shares, "p8_held": p8_held, "p9_found": p9_found, "p9_shares": p9_shares, "p9_whole": p9_whole}
 
 # SQL of p5: letters of a text, a site, the letters a title slot may hold, and the templates of a line
 _SITE = "nullif(regexp_replace(lower(regexp_extract({}, '^[A-Za-z][A-Za-z0-9+.\\-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '^www\\.', ''), '')"
