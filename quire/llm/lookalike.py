@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.charlm import CharModel, count_texts
-from quire.session import written
+from quire.session import small, written
 
 #: Log-price of a change of script within a token.
 SWITCH = -6.0
 #: Buckets that the rows of one spelling are dealt to when pairs are made.
 SPREAD = 16
+#: Looks of several spellings that may be broadcast to choose rows by; more are joined by a shuffle.
+MIXED = 200_000
 
 # Characters drawn alike, a class each.
 CLASSES = [
@@ -177,7 +179,10 @@ def members(forms: DataFrame, by: list[str], key: str = "key", text: str = "text
     which represents it. Rows of looks with one spelling are absent. NULL texts look like nothing.
     """
     # written, as the forms are used twice and each costs a search
-    rows = written(forms.where(F.col(text).isNotNull()).select(*by, F.col(form).alias("form"), F.col(text).alias("spelling"), F.col(key).alias("key")).distinct(), "forms")
+    every = written(forms.where(F.col(text).isNotNull()).select(*by, F.col(form).alias("form"), F.col(text).alias("spelling"), F.col(key).alias("key")), "forms")
+    # most looks have one spelling; their rows go before anything is shuffled
+    mixed = every.groupBy(*by, "form").agg((F.min("spelling") != F.max("spelling")).alias("mixed")).where("mixed").drop("mixed")
+    rows = every.join(small(mixed, MIXED), [*by, "form"], "left_semi").distinct()
     reps = rows.groupBy(*by, "form", "spelling").agg(F.min("key").alias("spelling_key"))
     several = reps.groupBy(*by, "form").agg(F.min("spelling_key").alias("class_key"), F.count("*").alias("n")).where("n > 1").drop("n")
     return rows.join(reps.join(several, [*by, "form"]), [*by, "form", "spelling"]).select(*by, "form", "spelling", "class_key", "spelling_key", "key")
