@@ -5,7 +5,7 @@ A hidden Markov model labels the characters of every stretch of a text that isn'
 * clean text;
 * a pair (encoding the bytes were written in, encoding they were read in), which emits a character
   through the pair's inverse transform, so the probability of a garbled stretch is that of the text
-  the transform restores, under one character model fitted on clean text. A "?" may stand for one
+  the transform restores, under one character model counted on all clean text. A "?" may stand for one
   byte that an earlier reader had no character for;
 * a double pair: text of a pair, written as UTF-8 and read wrongly again;
 * loss, which emits U+FFFD and has no inverse.
@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.charlm import SAMPLE_ROWS, CharModel, sample_texts
+from quire.llm.charlm import WEIGHT, CharModel, count_texts
 
 # Pairs of (written in, read in); the rare ones need more evidence.
 PAIRS = [
@@ -538,9 +538,9 @@ def labeller(model: CharModel) -> Labeller:
     return _worker[model.mark]
 
 
-def fit(clean: DataFrame, key: str, text: str, rows: int = SAMPLE_ROWS) -> CharModel:
-    """The character model of at most `rows` rows of clean text."""
-    return CharModel(sample_texts(clean, key, text, rows))
+def fit(clean: DataFrame, key: str, text: str) -> CharModel:
+    """The character model of all rows (key, text) of clean text."""
+    return count_texts(clean.select(key, text), text, weight=WEIGHT)
 
 
 def _or_null(df: DataFrame, name: str | None, kind: str) -> F.Column:

@@ -13,7 +13,7 @@ from quire.session import spread, table, written
 
 def _clean_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(extract_id, t): text known to be read well."""
-    return table(spark, sf_dir, "extracts").select("extract_id", F.concat_ws("\n", "title", "markdown").alias("t"))
+    return spread(table(spark, sf_dir, "extracts").select("extract_id", F.concat_ws("\n", "title", "markdown").alias("t")))
 
 
 def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

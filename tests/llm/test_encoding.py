@@ -1,7 +1,7 @@
 import pytest
 
 from quire.llm import encoding as E
-from quire.llm.charlm import CharModel, sample_texts
+from quire.llm.charlm import CharModel, count_texts, sample_texts
 
 CLEAN = [
     "Der Kräuterhof prüft die Liste der Gezeiten während der trockenen Wochen, über mehrere Abende.", "Le métier étroit réécrit la plus vieille note à côté du poêle, après un long débat.",
@@ -131,3 +131,37 @@ def test_sample_is_bounded(spark):
     df = spark.range(5000).selectExpr("id", "CAST(id AS STRING) AS t")
     s = sample_texts(df, "id", "t", 100)
     assert len(s) == 100 and s == sample_texts(df.repartition(7), "id", "t", 100)
+
+
+def test_every_row_of_clean_text_counts(spark):
+    """Characters that one row of thousands has are known, at their rates over all rows."""
+    df = spark.createDataFrame([(i, chr(0x4E00 + i) + " plain") for i in range(4000)], "id int, t string")
+    m = E.fit(df, "id", "t")
+    assert all(m.uni[chr(0x4E00 + i)] >= 1 for i in range(4000)) and m.bi["pl"] >= 4000
+
+
+def test_weighed_counts_leave_the_seed_its_say(spark):
+    """Marks that only the seed has stay clean text, however much text is counted; rates are those of all rows."""
+    df = spark.range(2000).selectExpr("id", "repeat('der ', 250) AS t")
+    all_, w, seed = count_texts(df, "t"), count_texts(df, "t", weight=1000), CharModel([])
+    assert w.uni["’"] == seed.uni["’"] == all_.uni["’"] and abs(w.total - seed.total - 1000) < 1e-6
+    assert abs((w.uni["d"] - seed.uni["d"]) - 250) < 1 and all_.uni["d"] == seed.uni["d"] + 500_000
+    assert w.logp("r", "’") - all_.logp("r", "’") > 10
+    assert w.prior("\u4e01") == CharModel.HAN
+
+
+def test_characters_seen_less_than_once_by_weight(spark):
+    """A seen character is no less likely than one never seen."""
+    df = spark.range(1000).selectExpr("id", "concat(IF(id = 7, '龍 ЖЩ', ''), repeat('der жщ ', 100)) AS t")
+    m = count_texts(df, "t", weight=1000)
+    assert 0 < m.uni["龍"] < 1 and m.prior("龍") >= m.prior("龘")
+    assert m.bi["ЖЩ"] < 1 and m.logp("Ж", "Щ") > m.logp("Ж", "Ы")
+
+
+def test_counting_in_arrays():
+    texts = ["", " a  b\t\n1 23", "  x", "é\r\n", "", "\x00\U0001f600\U0001f600 ", " ", "7", *CLEAN]
+    one, all_ = CharModel(texts, seed=""), CharModel([], seed="")
+    all_.add_all(texts)
+    all_.add_all([""])
+    all_.add_all([])
+    assert all_.uni == one.uni and all_.bi == one.bi
