@@ -82,11 +82,11 @@ def _small_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _labelled(spark: SparkSession, sf_dir: str, ex: DataFrame) -> DataFrame:
     """(extract_id, line_no, content, on_page) of the extracts `ex` (key, url, text)."""
-    pages = spread(table(spark, sf_dir, "fetches").where("ok").select("url", F.col("text").alias("html"), F.col("fetched_at").alias("at")))
+    pages = table(spark, sf_dir, "fetches").where("ok").select("url", F.col("text").alias("html"), F.col("fetched_at").alias("at"))
     chars = encoding.fit(_clean_extracts(spark, sf_dir), "extract_id", "t")
     all_ex = table(spark, sf_dir, "extracts").select("url", F.col("markdown").alias("text"))
-    model = boilerplate.fit(pages.select("url", "html"), all_ex, chars)
-    return boilerplate.label_lines(ex, pages, model).withColumnRenamed("key", "extract_id")
+    model, page_lines = boilerplate.train(pages, all_ex, chars)
+    return boilerplate.label_lines_on(ex, page_lines, model).withColumnRenamed("key", "extract_id")
 
 
 def p6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:

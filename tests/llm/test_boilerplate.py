@@ -89,3 +89,30 @@ def test_tables(spark):
     assert B.label_lines(ex.limit(0), pages.limit(0), m).count() == 0
     empty = B.fit(pages.select("url", "html").limit(0), ex.select("url", "text").limit(0), CharModel([]))
     assert B.label_lines(ex, pages, empty).count() > 0
+
+
+def test_every_page_and_extract_trains(spark):
+    """Trained in tasks on thousands of pages, the model is that of all of them together."""
+    got = [page(i % 3 > 0) for i in range(2500)]
+    pages = spark.createDataFrame([(f"u{i}", h) for i, (h, _, _) in enumerate(got)] + [("bad", "\ufffd"), ("", ""), (None, "<p>x")], "url string, html string")
+    ex = spark.createDataFrame([(f"u{i}", t) for i, (_, t, _) in enumerate(got)] + [("none", "x"), (None, "x"), ("u1", None)], "url string, text string")
+    chars = CharModel([para() for _ in range(50)])
+    m = B.fit(pages, ex, chars)
+    whole = B.Model({f"u{i}": h for i, (h, _, _) in enumerate(got)}, [(f"u{i}", t) for i, (_, t, _) in enumerate(got)], chars)
+    assert m.page.n == whole.page.n and m.markdown.n == whole.markdown.n and sum(m.markdown.n) > 2500 * 7
+    for a, b in ((m.page, whole.page), (m.markdown, whole.markdown)):
+        assert a.weight == b.weight and a.same == b.same
+
+
+def test_pages_are_labelled_once(spark):
+    """The lines that training labels are those of the latest sound page of an address."""
+    got = [page() for _ in range(60)]
+    rows = [(f"u{i}", h, 5) for i, (h, _, _) in enumerate(got)] + [("u0", got[1][0], 4), ("u1", "\ufffd", 9), ("u2", got[3][0], 9), ("u3", "", 9), ("u4", got[4][0], 5)]
+    pages = spark.createDataFrame(rows, "url string, html string, s long").selectExpr("url", "html", "timestamp_seconds(s) AS at")
+    ex = spark.createDataFrame([(i, f"u{i}", t) for i, (_, t, _) in enumerate(got)] + [(99, "none", got[0][1])], "key long, url string, text string")
+    m, lines = B.train(pages, ex.select("url", "text"), CharModel([para() for _ in range(50)]))
+    at = {r.url: r for r in lines.collect()}
+    assert len(at) == 60 == lines.count() and len(at["u3"]["keys"]) == 0
+    for u, h in (("u0", got[0][0]), ("u1", got[1][0]), ("u2", got[3][0])):
+        assert dict(zip(at[u]["keys"], at[u]["probs"])) == m.page_lines(h)
+    assert sorted(B.label_lines_on(ex, lines, m).collect()) == sorted(B.label_lines(ex, pages, m).collect())
